@@ -1,4 +1,48 @@
-"""Queries of the training-data operators in the core."""
+"""Queries of the training-data operators in the core, with SQL where it can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagtide.operators.trailing import activity, activity_marks
+from tagtide.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def p3_found(spark, d):
+    return activity_marks(table(spark, d, "points"), table(spark, d, "metric_catalog"))
+
+
+def p3_trailing(spark, d):
+    """Every delta series and day."""
+    made = activity(table(spark, d, "points"), table(spark, d, "metric_catalog")).drop("first_day")
+    doubles = ["sum_day", "sum_7", "avg_7", "sum_30", "avg_30"]
+    return made.withColumns({c: F.round(c, 6) for c in doubles})
+
+
+DAYS_SQL = """WITH r AS (SELECT DISTINCT series_id, ts, value FROM points WHERE series_id IS NOT NULL AND ts IS NOT NULL
+  AND value IS NOT NULL AND NOT isnan(value)
+  AND split_part(series_id, '{', 1) IN (SELECT metric FROM metric_catalog WHERE kind = 'delta')),
+ day AS (SELECT series_id, CAST(floor(ts / 86400.0) AS BIGINT) AS day_no, count(*) AS n, sum(value) AS s FROM r GROUP BY ALL),
+ span AS (SELECT series_id, min(day_no) AS a, max(day_no) AS b FROM day GROUP BY series_id),
+ dense AS (SELECT series_id, a, unnest(generate_series(a, b)) AS day_no FROM span),
+ full_days AS (SELECT d.series_id, d.a, d.day_no, coalesce(y.n, 0) AS n, coalesce(y.s, 0.0) AS s
+  FROM dense d LEFT JOIN day y ON d.series_id = y.series_id AND d.day_no = y.day_no),
+ w AS (SELECT *, CAST(sum(n) OVER w7 AS BIGINT) AS n_7, sum(s) OVER w7 AS sum_7, CAST(sum(n) OVER w30 AS BIGINT) AS n_30,
+   sum(s) OVER w30 AS sum_30
+  FROM full_days WINDOW w7 AS (PARTITION BY series_id ORDER BY day_no ROWS 6 PRECEDING),
+   w30 AS (PARTITION BY series_id ORDER BY day_no ROWS 29 PRECEDING))"""
+QUERIES["p3_found"] = p3_found
+SQL["p3_found"] = (
+    DAYS_SQL
+    + """ SELECT series_id, day_no, CASE WHEN n_7 = 0 AND n_30 > 0 THEN 'quiet' ELSE 'surge' END AS mark FROM w
+ WHERE day_no >= a + 29 AND ((n_7 = 0 AND n_30 > 0) OR (sum_30 > 0 AND sum_7 * 30 > sum_30 * 17.5))"""
+)
+QUERIES["p3_trailing"] = p3_trailing
+SQL["p3_trailing"] = (
+    DAYS_SQL
+    + """ SELECT series_id, day_no, n AS n_day, round(s, 6) AS sum_day, n_7, round(sum_7, 6) AS sum_7,
+ round(sum_7 / 7, 6) AS avg_7, n_30, round(sum_30, 6) AS sum_30, round(sum_30 / 30, 6) AS avg_30 FROM w"""
+)
