@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagtide.llm.percentiles import named_percentiles, outlying_series
 from tagtide.llm.term_frequency import term_frequencies
 from tagtide.sources.tables import table
 
@@ -32,3 +33,37 @@ QUERIES["p1_found"] = p1_found
 SQL["p1_found"] = TERM_SQL + " SELECT field, term, mark FROM m WHERE mark IS NOT NULL"
 QUERIES["p1_terms"] = p1_terms
 SQL["p1_terms"] = TERM_SQL + " SELECT field, term, n_occurrences, n_records, mark FROM m"
+
+
+# ---- 5: percentiles
+PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def p5_found(spark, d):
+    return outlying_series(*(table(spark, d, t) for t in ("points", "metric_catalog", "series")))
+
+
+def p5_percentiles(spark, d):
+    """Per series and per metric and zone."""
+    made = named_percentiles(*(table(spark, d, t) for t in ("points", "metric_catalog", "series")), PERCENTILES)
+    return made.withColumn("value", F.round("value", 6))
+
+
+READING_SQL = """r AS (SELECT DISTINCT p.series_id, p.ts, p.value FROM points p JOIN metric_catalog c
+  ON split_part(p.series_id, '{', 1) = c.metric WHERE c.kind = 'gauge' AND ts IS NOT NULL AND value IS NOT NULL
+  AND NOT isnan(value)),
+ z AS (SELECT series_id, split_part(series_id, '{', 1) AS metric, nullif(trim(lower(tags['zone']), ' '), '') AS zone FROM series),
+ v AS (SELECT r.*, z.metric, z.zone FROM r JOIN z USING (series_id))"""
+QUERIES["p5_found"] = p5_found
+SQL["p5_found"] = f"""WITH {READING_SQL},
+ g AS (SELECT metric, zone, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM v WHERE zone IS NOT NULL
+  GROUP BY ALL),
+ s AS (SELECT series_id, metric, zone, quantile_cont(value, 0.5) AS m FROM v WHERE zone IS NOT NULL GROUP BY ALL)
+ SELECT series_id FROM s JOIN g USING (metric, zone) WHERE m > q3 + 4 * (q3 - q1) OR m < q1 - 4 * (q3 - q1)"""
+QUERIES["p5_percentiles"] = p5_percentiles
+SQL["p5_percentiles"] = f"""WITH {READING_SQL},
+ q AS (SELECT unnest([{", ".join(f"CAST({q} AS DOUBLE)" for q in PERCENTILES)}]) AS q, unnest(range({len(PERCENTILES)})) AS i),
+ u AS (SELECT 'series' AS scope, series_id AS name, value FROM v UNION ALL
+  SELECT 'group', metric || '|' || zone, value FROM v WHERE zone IS NOT NULL),
+ a AS (SELECT scope, name, count(*) AS n, quantile_cont(value, {list(PERCENTILES)}) AS qs FROM u GROUP BY ALL)
+ SELECT scope, name, n, q.q, round(a.qs[q.i + 1], 6) AS value FROM a CROSS JOIN q"""
