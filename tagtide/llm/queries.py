@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagtide.llm.bpe import token_ids
+from tagtide.llm.mixing import mixture
 from tagtide.llm.percentiles import named_percentiles, outlying_series
 from tagtide.llm.term_frequency import term_frequencies
 from tagtide.sources.tables import table
@@ -67,3 +69,30 @@ SQL["p5_percentiles"] = f"""WITH {READING_SQL},
   SELECT 'group', metric || '|' || zone, value FROM v WHERE zone IS NOT NULL),
  a AS (SELECT scope, name, count(*) AS n, quantile_cont(value, {list(PERCENTILES)}) AS qs FROM u GROUP BY ALL)
  SELECT scope, name, n, q.q, round(a.qs[q.i + 1], 6) AS value FROM a CROSS JOIN q"""
+
+
+# ---- 6: token ids
+def p6_ids(spark, d):
+    return token_ids(table(spark, d, "documents"))
+
+
+QUERIES["p6_ids"] = p6_ids
+
+
+# ---- 7: mixing
+def p7_found(spark, d):
+    report = mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return report.where("short AND used_tokens < target_share * whole_tokens").select("source")
+
+
+def p7_report(spark, d):
+    """Shares reached per source."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p7_mix(spark, d):
+    """The documents used, with their repeats."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+QUERIES |= {"p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
