@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagtide.llm.bpe import token_ids
 from tagtide.llm.mixing import mixture
+from tagtide.llm.mojibake import garbled_texts
 from tagtide.llm.percentiles import named_percentiles, outlying_series
 from tagtide.llm.term_frequency import term_frequencies
 from tagtide.sources.tables import table
@@ -96,3 +97,16 @@ def p7_mix(spark, d):
 
 
 QUERIES |= {"p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+
+
+# ---- 8: wrong encodings
+def p8_found(spark, d):
+    return garbled_texts(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_repaired(spark, d):
+    """The restored texts."""
+    return garbled_texts(table(spark, d, "documents"))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_repaired": p8_repaired}
