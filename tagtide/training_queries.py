@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.operators.grid import missing_slots, regular_grid
+from tagtide.operators.spikes import implausible
 from tagtide.operators.trailing import activity, activity_marks
 from tagtide.sources.tables import table
 
@@ -70,3 +71,16 @@ SQL["p2_found"] = """WITH r AS (SELECT DISTINCT series_id, ts, c.interval_s FROM
   WHERE nxt - slot > 1 AND (nxt - slot) * interval_s <= 604800)
  SELECT series_id, slot * interval_s AS slot_ts FROM m"""
 QUERIES["p2_grid"] = p2_grid
+
+
+# ---- 4: implausible readings
+def p4_found(spark, d):
+    return implausible(table(spark, d, "points"), table(spark, d, "metric_catalog")).select("series_id", "ts").distinct()
+
+
+def p4_reasons(spark, d):
+    """Every implausible reading with its value and reason."""
+    return implausible(table(spark, d, "points"), table(spark, d, "metric_catalog"))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_reasons": p4_reasons}
