@@ -58,15 +58,18 @@ def wide_to_points(df: DataFrame, ts: Column, seq: Column, tags: dict[str, Colum
 
 
 def read_points(spark: SparkSession, path: str, form: str = "parquet", **options) -> DataFrame:
-    """Points from Parquet, ORC, JSON or CSV. Text forms carry tags as a JSON object in a string column."""
+    """Points from Parquet, ORC, JSON or CSV. CSV needs a header, in any order, and carries tags as a JSON object
+    in a string column; cells that do not fit their type become null."""
     if form in ("parquet", "orc"):
         return spark.read.format(form).options(**options).load(path)
     plain = "metric string, series_id string, tags string, ts bigint, value double, seq bigint"
     if form == "json":
         return spark.read.schema(plain.replace("tags string", "tags map<string,string>")).options(**options).json(path)
     if form == "csv":
-        df = spark.read.schema(plain).options(header=True, **options).csv(path)
-        return df.withColumn("tags", F.from_json("tags", "map<string,string>"))
+        df = spark.read.options(header=True, **options).csv(path)
+        fields = [x.split(" ") for x in plain.split(", ")]
+        named = df.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in fields])
+        return named.withColumn("tags", F.from_json("tags", "map<string,string>"))
     raise ValueError(f"unknown form {form!r}")
 
 
