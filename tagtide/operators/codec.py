@@ -187,7 +187,8 @@ def unseal(sealed: DataFrame, t_start: int | None = None, t_end: int | None = No
                     made = made[made["ts"] >= t_start]
                 if t_end is not None:
                     made = made[made["ts"] <= t_end]
-                yield made
+                if len(made):
+                    yield made
 
     cols = sealed.select("series_id", "chunk_id", "n_points", "ts_blob", "val_blob")
     return cols.mapInPandas(decode, "series_id string, chunk_id int, ts bigint, value double")

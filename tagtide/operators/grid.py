@@ -90,6 +90,8 @@ def normal_equations(blocks: DataFrame) -> DataFrame:
 
 def _solve(batches):
     for batch in batches:
+        if not len(batch):
+            continue
         n, p = len(batch), len(FEATURES)
         gram, right = np.empty((n, p, p)), np.empty((n, p))
         for i, a in enumerate(FEATURES):

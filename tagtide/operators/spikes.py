@@ -100,38 +100,43 @@ MODEL_SUMS = ["n", "scatter_n", "sxx", "sxy", "pairs", "same"]
 
 
 def _block_sums(batches):
-    """Sums of the robust autoregression of each block."""
+    """Sums of the robust autoregression of each stretch, weighted by the readings it stands for."""
     for batch in batches:
         out = []
-        for k1, k2, ts, value, broken in zip(batch.k1, batch.k2, batch.ts, batch.value, batch.broken):
+        for k1, k2, own, ts, value, broken in zip(batch.k1, batch.k2, batch.own, batch.ts, batch.value, batch.broken):
             good = ~np.asarray(broken, bool) & np.isfinite(value)
+            part = own / len(good)
             ts, y = np.asarray(ts)[good], np.asarray(value)[good]
             stuck = long_runs(ts, y)
             pairs = ~(stuck[1:] & stuck[:-1])
-            same = int(((y[1:] == y[:-1]) & pairs).sum())
+            moves = (part * pairs.sum(), part * ((y[1:] == y[:-1]) & pairs).sum())
             free = y[~stuck]
             if len(free) < 5:
-                out.append((k1, k2, 0, 0.0, 0.0, 0.0, int(pairs.sum()), same))
+                out.append((k1, k2, 0.0, 0.0, 0.0, 0.0, *moves))
                 continue
             s = scatter(free)
             u = np.clip(free - running_median(free), -3 * s, 3 * s)
-            out.append(
-                (k1, k2, len(free), s * len(free), float(u[:-1] @ u[:-1]), float(u[1:] @ u[:-1]), int(pairs.sum()), same)
-            )
-        yield pd.DataFrame(out, columns=[*KEY, *MODEL_SUMS])
-
-
-def series_models(blocks: DataFrame) -> DataFrame:
-    """(k1, k2, phi, usual, same_share) per series."""
-    schema = "k1 bigint, k2 bigint, n bigint, scatter_n double, sxx double, sxy double, pairs bigint, same bigint"
-    parts = blocks.select(*KEY, "rs.ts", "rs.value", "rs.broken").mapInPandas(_block_sums, schema)
+            n = part * len(free)
+            out.append((k1, k2, n, s * n, part * float(u[:-1] @ u[:-1]), part * float(u[1:] @ u[:-1]), *moves))
+        if out:
+            yield pd.DataFrame(out, columns=[*KEY, *MODEL_SUMS])
+
+
+def series_models(blocks: DataFrame, around: DataFrame) -> DataFrame:
+    """(k1, k2, phi, usual, same_share) per series. Blocks of up to CONTEXT readings are seen with the readings around
+    them, so sparse series have a model too."""
+    long = blocks.where(F.size("rs") > CONTEXT).select(*KEY, F.size("rs").alias("own"), "rs")
+    short = around.where(F.col("own") <= CONTEXT).select(*KEY, "own", F.concat("b", "head", "a").alias("rs"))
+    fields = ", ".join(f"{c} double" for c in MODEL_SUMS)
+    seen = long.unionByName(short).select(*KEY, "own", "rs.ts", "rs.value", "rs.broken")
+    parts = seen.mapInPandas(_block_sums, f"k1 bigint, k2 bigint, {fields}")
     sums = parts.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in MODEL_SUMS])
     phi = F.greatest(F.lit(0.0), F.least(F.lit(0.95), F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0))))
     return sums.select(
         *KEY,
         phi.alias("phi"),
         F.coalesce(F.try_divide("scatter_n", "n"), F.lit(0.0)).alias("usual"),
-        F.coalesce(F.try_divide(F.col("same").cast("double"), "pairs"), F.lit(1.0)).alias("same_share"),
+        F.coalesce(F.try_divide("same", "pairs"), F.lit(1.0)).alias("same_share"),
     )
 
 
@@ -187,12 +192,12 @@ def judge(ts, value, broken, phi: float, usual: float, same_share: float) -> np.
     return marks
 
 
-REASONS = np.array(["", "limit", "spike", "stuck"], dtype=object)
+REASONS = ("", "limit", "spike", "stuck")
 
 
 def _flagged(batches):
     for batch in batches:
-        out = []
+        out: dict[str, list] = {"series_id": [], "ts": [], "value": [], "reason": []}
         for r in batch.itertuples(index=False):
             a, n = len(r.b_ts), len(r.ts)
             ts = np.concatenate([r.b_ts, r.ts, r.a_ts]).astype(np.int64)
@@ -200,30 +205,34 @@ def _flagged(batches):
             broken = np.concatenate([r.b_broken, r.broken, r.a_broken]).astype(bool)
             marks = judge(ts, value, broken, r.phi, r.usual, r.same_share)[a : a + n]
             at = np.flatnonzero(marks)
-            if len(at):
-                out.append(
-                    pd.DataFrame({"series_id": r.series_id, "ts": ts[a + at], "value": value[a + at], "reason": REASONS[marks[at]]})
-                )
-        yield pd.concat(out) if out else pd.DataFrame({"series_id": [], "ts": [], "value": [], "reason": []})
+            out["series_id"] += [r.series_id] * len(at)
+            out["ts"] += ts[a + at].tolist()
+            out["value"] += value[a + at].tolist()
+            out["reason"] += [REASONS[m] for m in marks[at]]
+        if out["ts"]:
+            yield pd.DataFrame(out)
 
 
-def implausible(points: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(series_id, ts, value, reason) of implausible readings; reason is limit, spike or stuck."""
-    blocks = written(reading_blocks(points, catalog))
+def contexts(blocks: DataFrame) -> DataFrame:
+    """(k1, k2, block, own, head, b, a): size and first readings of a block, readings before and after it."""
+    last = lambda rs: F.slice(rs, F.greatest(F.lit(1), F.size(rs) - CONTEXT + 1), F.lit(CONTEXT))
     ends = blocks.select(
-        *KEY, "block", F.slice("rs", 1, CONTEXT).alias("head"),
-        F.slice("rs", F.greatest(F.lit(1), F.size("rs") - CONTEXT + 1), F.lit(CONTEXT)).alias("tail"),
-    )
+        *KEY, "block", F.size("rs").alias("own"), F.slice("rs", 1, CONTEXT).alias("head"), last("rs").alias("tail")
+    )
     order = Window.partitionBy(*KEY).orderBy("block")
     before = F.flatten(F.collect_list("tail").over(order.rowsBetween(-STUCK_RUN, -1)))
     after = F.flatten(F.collect_list("head").over(order.rowsBetween(1, STUCK_RUN)))
-    around = ends.select(
-        *KEY,
-        "block",
-        before.alias("b"),
-        F.slice(after, 1, CONTEXT).alias("a"),
-    ).select(*KEY, "block", F.slice("b", F.greatest(F.lit(1), F.size("b") - CONTEXT + 1), F.lit(CONTEXT)).alias("b"), "a")
-    context = around.join(series_models(blocks), KEY).join(series_names(points), KEY)
+    wide = ends.select(*KEY, "block", "own", "head", before.alias("b"), F.slice(after, 1, CONTEXT).alias("a"))
+    return wide.withColumn("b", last("b"))
+
+
+def implausible(points: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(series_id, ts, value, reason) of implausible readings; reason is limit, spike or stuck."""
+    blocks = written(reading_blocks(points, catalog))
+    around = contexts(blocks)
+    context = (
+        around.select(*KEY, "block", "b", "a").join(series_models(blocks, around), KEY).join(series_names(points), KEY)
+    )
     joined = blocks.join(context, [*KEY, "block"]).select(
         "series_id", "phi", "usual", "same_share",
         *[F.col(f"{src}.{f}").alias(f"{name}{f}") for src, name in (("b", "b_"), ("rs", ""), ("a", "a_"))
