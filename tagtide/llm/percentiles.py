@@ -107,7 +107,8 @@ def _pick(batches):
             for t in row.targets:
                 local = t["rank"] - row.start
                 out.append((row.k1, row.k2, row.n, t["q"], t["side"], t["share"], row.vals[np.searchsorted(row.ends, local, "right")]))
-        yield pd.DataFrame(out, columns=["k1", "k2", "n", "q", "side", "share", "value"])
+        if out:
+            yield pd.DataFrame(out, columns=["k1", "k2", "n", "q", "side", "share", "value"])
 
 
 def percentiles_of(runs: DataFrame, qs: tuple[float, ...]) -> DataFrame:
