@@ -34,44 +34,37 @@ def field_terms(records: DataFrame, column: str, field: str) -> DataFrame:
     )
 
 
+def _counted(words: Column) -> Column:
+    """Every word once per occurrence and, apart from that, once per record: (word, occurrences, records)."""
+    row = lambda n, r: lambda w: F.named_struct(F.lit("word"), w, F.lit("n"), F.lit(n), F.lit("r"), F.lit(r))
+    return F.concat(F.transform(words, row(1, 0)), F.transform(F.array_distinct(words), row(0, 1)))
+
+
 def map_terms(records: DataFrame, column: str, field: str, separator: str = ";") -> DataFrame:
     """(field, term, n_occurrences, n_records) of a map column: ``key=word`` for each word of each value.
 
     Keys of a map differ, so a term repeats within a record only among the words of one value, unless a key
-    itself contains ``=``; only for such records the keys that made each term are looked up."""
+    itself contains ``=``; such records are taken as a whole. No row carries more than its own word, so values of
+    any number of words take memory in proportion."""
     tags = F.col(column)
-    odd = F.instr(F.array_join(F.map_keys(tags), " "), "=") > 0
-    owners = F.when(
-        odd,
-        F.flatten(
-            F.transform(
-                F.map_entries(tags),
-                lambda e: F.transform(
-                    F.split(e["value"], separator),
-                    lambda w: F.named_struct(
-                        F.lit("term"), F.concat(e["key"], F.lit("="), folded(w)), F.lit("key"), e["key"]
-                    ),
-                ),
-            )
-        ),
-    )
-    pairs = records.select(owners.alias("owners"), F.explode(tags).alias("key", "held"))
-    words = F.split(F.regexp_replace(F.trim(F.lower("held")), f" *{separator} *", separator), separator)
-    flat = pairs.select("owners", "key", words.alias("words")).select(
-        "owners", "key", "words", F.posexplode("words").alias("at", "word")
-    )
-    term = F.concat("key", F.lit("="), "word")
-    first_key = F.element_at(
-        F.filter(F.filter("owners", lambda o: o.isNotNull()), lambda o: o["term"] == F.col("term")), 1
-    )["key"]
-    first = (F.array_position("words", F.col("word")) == F.col("at") + 1) & (
-        F.when(F.col("owners").isNull(), F.lit(True)).otherwise(first_key == F.col("key"))
+    odd = F.coalesce(F.instr(F.array_join(F.map_keys(tags), " "), "=") > 0, F.lit(False))
+    words = F.split(F.regexp_replace(folded(F.col("held")), f" *{separator} *", separator), separator)
+    one = F.array(F.named_struct(F.lit("word"), folded(F.col("held")), F.lit("n"), F.lit(1), F.lit("r"), F.lit(1)))
+    plain = (
+        records.where(~odd)
+        .select(F.explode(tags).alias("key", "held"))
+        .select("key", F.inline(F.when(F.instr("held", separator) > 0, _counted(words)).otherwise(one)))
+        .where(F.col("word") != "")
+        .select(F.concat("key", F.lit("="), "word").alias("term"), "n", "r")
     )
+    clean = lambda e: F.filter(F.transform(F.split(e["value"], separator), folded), lambda w: w != "")
+    terms = F.transform(F.map_entries(tags), lambda e: F.transform(clean(e), lambda w: F.concat(e["key"], F.lit("="), w)))
+    known = F.flatten(F.filter(terms, lambda t: t.isNotNull()))
+    whole = records.where(odd).select(known.alias("terms")).select(F.inline(_counted(F.col("terms"))).alias("term", "n", "r"))
     return (
-        flat.where(F.col("word") != "")
-        .withColumn("term", term)
+        plain.unionByName(whole)
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_occurrences"), F.sum(first.cast("bigint")).alias("n_records"))
+        .agg(F.sum("n").alias("n_occurrences"), F.sum("r").alias("n_records"))
         .select(F.lit(field).alias("field"), "term", "n_occurrences", "n_records")
     )
 
