@@ -30,6 +30,8 @@ from tagtide.operators.blocks import written
 
 BLOCK_TOKENS = 256
 SHARD_TOKENS = 1 << 21
+#: Stands for all blocks of a source that holds fewer than it was given.
+FULL = -1
 
 
 def apportion(weights, seats: int, limits=None) -> np.ndarray:
@@ -91,16 +93,17 @@ def shard_quotas(sizes: DataFrame, targets: DataFrame, block_tokens: int) -> Dat
         blocks = int(round(rows["held"].sum() / block_tokens))
         can = rows["held"] * rows["max_repeats"] // block_tokens
         free = apportion(rows["target_share"], blocks)
-        return pd.DataFrame({"source": rows["source"], "max_repeats": rows["max_repeats"], "blocks": np.minimum(free, can + 1)})
+        return pd.DataFrame({"source": rows["source"], "max_repeats": rows["max_repeats"], "blocks": np.where(free > can, FULL, free)})
 
     given = whole.groupBy().applyInPandas(share, "source string, max_repeats bigint, blocks bigint")
 
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
-        room = -(-rows["held"] * rows["max_repeats"] // block_tokens)
-        made = apportion(rows["held"], int(rows["blocks"].iloc[0]), room)
+        can = rows["held"] * rows["max_repeats"]
+        blocks = int(rows["blocks"].iloc[0])
+        quota = can if blocks == FULL else apportion(rows["held"], blocks, -(-can // block_tokens)) * block_tokens
         return pd.DataFrame({"source": rows["source"], "shard": rows["shard"], "held": rows["held"],
-                             "max_repeats": rows["max_repeats"], "quota": made * block_tokens})
+                             "max_repeats": rows["max_repeats"], "quota": quota})
 
     schema = "source string, shard bigint, held bigint, max_repeats bigint, quota bigint"
     return per.join(given, "source").groupBy("source").applyInPandas(spread, schema)
