@@ -38,7 +38,7 @@ SINGLE = (
     "cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp1253", "koi8-r", "cp1254", "cp866",
     "iso8859-2", "iso8859-7", "iso8859-5", "iso8859-9", "cp852", "cp1257", "mac_cyrillic", "cp737", "cp857", "koi8-u",
 )
-DOUBLE = ("gb18030", "big5", "cp949", "cp932", "euc_jp")
+DOUBLE = ("gb18030", "gbk", "big5", "cp949", "cp932", "euc_jp")
 #: Legacy encodings in which text may have been written and then read as another.
 WRITTEN = (
     "cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "koi8-r", "cp437", "cp850", "cp866", "mac_roman", "iso8859-2",
@@ -61,6 +61,11 @@ GREEK = frozenset("αβγδεζηθικλμνξοπρσςτυφχψωάέήίό
 WORD = re.compile(
     "(?<![A-Za-z'\x80-\U0010ffff])[A-Za-z']*+[\x80-\U0010ffff][A-Za-z'\x80-\U0010ffff]*+"
 )
+#: After these steps a lone capital A with tilde is what was left of a letter whose second byte, a no-break space or a
+#: soft hyphen, had turned into a space or vanished.
+GAPS = {(w, r) for w in ("cp1252", "latin-1") for r in ("utf-8", "utf-8 inside")}
+SIGNS = "\ufeff♪♫–—“”‘’„…€™•"
+LINE = re.compile("[^\n]+")
 LOST = "�"
 APOSTROPHE = "’‘ʼ'"
 QUOTES = frozenset("“”„«»‹›‚\"")
@@ -114,11 +119,11 @@ def _letters_cost(run: str) -> float:
     """Cost of an unbroken run of letters."""
     cost = 0.0
     kinds = [kind(c) for c in run]
-    for (c0, s0), (c1, s1), a, b in zip(kinds, kinds[1:], run, run[1:]):
+    for i, ((c0, s0), (c1, s1), a, b) in enumerate(zip(kinds, kinds[1:], run, run[1:])):
         if s0 != s1 and s0 and s1:
             east = b if s1 == EAST else a
             cost += (2.0 if HAN.match(east) else 0.5) if EAST in (s0, s1) else 3.0
-        elif c0 == "l" and c1 == "u" and b > "\x7f" and a != "l":
+        elif c0 == "l" and c1 == "u" and b > "\x7f" and not (a == "l" and (not i or kinds[i - 1][0] == "u")):
             cost += 2.0
         elif c0 == "l" and c1 == "u" and a > "\x7f" and s0 != LATIN:
             cost += 2.0
@@ -197,9 +202,10 @@ def cost(word: str) -> float:
 
 @lru_cache(maxsize=1)
 def _marks() -> re.Pattern:
-    """The UTF-8 byte order mark as it looks when read one byte at a time."""
-    seen = {b"\xef\xbb\xbf".decode(n, "ignore") for n in SINGLE}
-    return re.compile("|".join(re.escape(m) for m in sorted(seen) if len(m) == 3))
+    """Frequent signs of three UTF-8 bytes, the byte order mark among them, as they look when read byte by byte."""
+    back = {n: {b: c for c, b in _tables(n).items()} for n in SINGLE}
+    seen = {"".join(back[n].get(b, " ") for b in sign.encode()) for sign in SIGNS for n in SINGLE}
+    return re.compile("|".join(re.escape(m) for m in sorted(seen) if " " not in m))
 
 
 @lru_cache(maxsize=None)
@@ -217,6 +223,9 @@ def _tables(name: str) -> dict[str, int]:
 def as_bytes(word: str, name: str) -> bytes | None:
     if name in DOUBLE:
         try:
+            if name == "gbk":
+                # bytes that made no pair were kept one by one
+                return b"".join(bytes([ord(c)]) if c <= "\xff" else c.encode(name) for c in word)
             return word.encode(name)
         except UnicodeEncodeError:
             return None
@@ -370,6 +379,51 @@ class Verdicts(dict):
         return made
 
 
+#: Encodings that put other letters at the same places: misread, words stay words, of another language.
+FAMILY = ("cp1252", "cp1254", "cp1250")
+LANGUAGES = tuple(ALPHABETS)
+
+
+@lru_cache(maxsize=1 << 16)
+def _beyond(word: str) -> frozenset[str]:
+    """The Latin letters beyond ASCII of a word."""
+    return frozenset(c for c in word if c > "\x7f" and kind(c)[1] == LATIN)
+
+
+@lru_cache(maxsize=1 << 14)
+def _sibling(strange: frozenset[str], language: str) -> Step | None:
+    """The round trip within FAMILY that turns two or more of the letters into letters of the language."""
+    own = SOUND[LANGUAGES.index(language)]
+    best: tuple[int, Step] | None = None
+    for wrong in FAMILY:
+        for right in FAMILY:
+            back = {c: apply(c, (wrong, right)) for c in strange} if wrong != right else {}
+            hits = {c.lower() for c, made in back.items() if made in own and made > "\x7f" and kind(made)[0] == kind(c)[0]}
+            if len(hits) >= 2 and (best is None or len(hits) > best[0]):
+                best = len(hits), (wrong, right)
+    return best[1] if best else None
+
+
+def of_another_language(words: list[str]) -> tuple[Step, list[str]] | None:
+    """The words of a document that are sound by themselves but hold letters its language lacks, where one misreading
+    among related encodings explains two or more of these letters in three or more words; and that step."""
+    letters = {w: held for w in words if len(w) > 2 and (held := _beyond(w))}
+    if len(letters) < 4:
+        return None
+    sets = Counter(letters.values()).items()
+    fit = [sum(n for held, n in sets if held <= a) for a in SOUND]
+    top = max(range(len(fit)), key=fit.__getitem__)
+    odd = {w: held - SOUND[top] for w, held in letters.items() if not held <= SOUND[top]}
+    if len(odd) < 2 or fit[top] < len(odd):
+        return None
+    step = _sibling(frozenset().union(*odd.values()), LANGUAGES[top])
+    if step is None:
+        return None
+    made = {w: apply(w, step) for w in odd}
+    hit = [w for w, text in made.items() if text is not None and _beyond(text) <= SOUND[top] and cost(text) < 0.5]
+    return (step, hit) if len({w.lower() for w in hit}) >= 3 else None
+
+
 def _through(word: str, steps: Chain) -> str | None:
     made: str | None = word
     for step in steps:
@@ -380,7 +434,7 @@ def _through(word: str, steps: Chain) -> str | None:
 def _explaining(votes: Counter, words: list[str]) -> Chain:
     """Of the proposed chains the one that leaves the least cost over all garbled words of a document."""
     best, least = (), None
-    for steps, _ in sorted(votes.items(), key=lambda v: (-v[1], [ORDER[s] for s in v[0]]))[:16]:
+    for steps, _ in sorted(votes.items(), key=lambda v: (-v[1], [ORDER.get(s, len(ORDER)) for s in v[0]]))[:16]:
         total = 0.0
         for w in words:
             made = _through(w, steps)
@@ -397,6 +451,10 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
     body = text[1:] if text[0] == "﻿" else text
     words = WORD.findall(body)
     verdicts = {w: known[w] for w in set(words)}
+    other_language = of_another_language([w for w, v in verdicts.items() if not v[3]])
+    if other_language is not None:
+        step, hit = other_language
+        verdicts |= {w: (apply(w, step), ((step,),), 0.0, True) for w in hit}
     if not any(v[3] for v in verdicts.values()):
         return False, text, True, None
     votes: Counter = Counter()
@@ -406,19 +464,42 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
     main = _explaining(votes, [w for w in verdicts if verdicts[w][1]])
     whole = True
 
-    def restore(m: re.Match) -> str:
-        nonlocal whole
-        word = m.group()
-        made, chains, left, garbled = verdicts[word]
-        if main and chains != (main,):
-            other = _through(word, main)
-            if other is not None and cost(other) <= (left + 0.6 if garbled else cost(word)):
-                made = other
-        if any(kind(c)[0] == "x" for c in made):
-            whole = False
-        return made
-
-    fixed = WORD.sub(restore, body)
+    @lru_cache(maxsize=None)
+    def other(word: str) -> tuple[str | None, float]:
+        made = _through(word, main) if main else None
+        return made, 1e9 if made is None else cost(made)
+
+    def sound(word: str) -> bool:
+        """A word that the main step would spoil."""
+        if verdicts[word][3] or not main:
+            return False
+        made, now = other(word)
+        return as_bytes(word, main[0][0]) is None if made is None else now > cost(word) + 0.5
+
+    mixed = any(sound(w) for w in verdicts)
+
+    def line(m: re.Match) -> str:
+        held = WORD.findall(m.group())
+        follow = not mixed or (any(verdicts[w][3] for w in held) and not any(sound(w) for w in held))
+
+        def restore(m: re.Match) -> str:
+            nonlocal whole
+            word = m.group()
+            made, chains, left, garbled = verdicts[word]
+            if main and chains != (main,):
+                text, now = other(word)
+                if text is not None and (now <= left + 0.6 if garbled else follow and now <= cost(word)):
+                    made = text
+            if any(kind(c)[0] == "x" for c in made):
+                whole = False
+            return made
+
+        return WORD.sub(restore, m.group()) if held else m.group()
+
+    fixed = LINE.sub(line, body)
+    if main and main[-1] in GAPS:
+        fixed = re.sub("(?<![A-ZÀ-Þ])Ã ", "à", fixed)
+        fixed = re.sub("(?<=[A-Za-zÀ-þ])Ã(?=[a-z])", "í", fixed)
     name = " > ".join(f"{w}:{r}" for w, r in main) or None
     return True, text[: len(text) - len(body)] + fixed, whole, name
 
