@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.aggregates import first_order, last_order, named
-from tagtide.functions.columns import bucket_label, bucket_start
+from tagtide.functions.columns import DAY_S, bucket_label, bucket_start
 from tagtide.operators.downsample import downsample, event_order, source_label
 from tagtide.operators.scan import range_scan
 from tagtide.plans.spec import GRANULARITIES, coarsest_within
@@ -38,11 +38,13 @@ def rollup_points(points: DataFrame, granularity: str) -> DataFrame:
     )
 
 
-def coarsen(rollup: DataFrame, granularity: str) -> DataFrame:
-    """Rollup rows of a coarser granularity from finer ones; widths divide each other, so this is exact."""
+def coarsen(rollup: DataFrame, granularity: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rollup rows of a coarser granularity from finer ones; widths divide each other, so this is exact. Columns
+    named in ``within`` are constant in a coarse bucket and are kept."""
     width = GRANULARITIES[granularity]
+    bucket = bucket_start(F.col("bucket_ts"), width).alias("bucket_ts")
     return (
-        rollup.groupBy("metric", "series_id", bucket_start(F.col("bucket_ts"), width).alias("bucket_ts"))
+        rollup.groupBy("metric", "series_id", *within, bucket)
         .agg(
             F.sum("count").alias("count"),
             F.sum("sum").alias("sum"),
@@ -53,22 +55,26 @@ def coarsen(rollup: DataFrame, granularity: str) -> DataFrame:
         )
         .select(
             F.lit(granularity).alias("granularity"), F.lit(width).cast("bigint").alias("interval_s"),
-            "metric", "series_id", "bucket_ts", "count", "sum", "min", "max", "a.*", "z.*",
+            "metric", "series_id", *within, "bucket_ts", "count", "sum", "min", "max", "a.*", "z.*",
         )
     )
 
 
 def build_rollup(points: DataFrame, granularities=tuple(GRANULARITIES)) -> DataFrame:
-    """All asked granularities, each from the next finer one, in one table. Points are read once per branch of
-    the union only for the finest; write the result partitioned by ``granularity``."""
+    """All asked granularities in one table, each from the next finer one; write it partitioned by ``granularity``.
+    Points are aggregated and shuffled once, for the finest. Its rows are then placed by (series, day), at most one
+    row per finest bucket of a day, and every coarser level is made where they lie."""
     names = [g for g in GRANULARITIES if g in set(granularities)]
     if not names:
         raise ValueError("no granularity asked")
     level = rollup_points(points, names[0])
-    out = level
+    if len(names) == 1:
+        return level
+    level = level.withColumn("day_", bucket_start(F.col("bucket_ts"), DAY_S)).repartition("metric", "series_id", "day_")
+    out = level.drop("day_")
     for name in names[1:]:
-        level = coarsen(level, name)
-        out = out.unionByName(level)
+        level = coarsen(level, name, ("day_",))
+        out = out.unionByName(level.drop("day_"))
     return out
 
 
