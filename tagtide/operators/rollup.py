@@ -70,7 +70,7 @@ def build_rollup(points: DataFrame, granularities=tuple(GRANULARITIES)) -> DataF
     level = rollup_points(points, names[0])
     if len(names) == 1:
         return level
-    level = level.withColumn("day_", bucket_start(F.col("bucket_ts"), DAY_S)).repartition("metric", "series_id", "day_")
+    level = level.withColumn("day_", bucket_start(F.col("bucket_ts"), DAY_S)).repartition("series_id", "day_")
     out = level.drop("day_")
     for name in names[1:]:
         level = coarsen(level, name, ("day_",))
