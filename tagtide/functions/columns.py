@@ -20,7 +20,20 @@ def bucket_label(bucket: Column, t_start: int | None) -> Column:
 
 
 def _escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\,={}])", r"\\$1")
+    for mark in ("\\", ",", "=", "{", "}"):
+        text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+    return text
+
+
+def series_id_of(metric: str, tags: dict[str, Column]) -> Column:
+    """The id of series whose keys are known when the plan is made: plain concatenation, no map is sorted per row."""
+    keys = {k: k for k in tags}
+    for mark in ("\\", ",", "=", "{", "}"):
+        keys = {k: v.replace(mark, "\\" + mark) for k, v in keys.items()}
+    parts = [F.lit(metric + "{")]
+    for i, k in enumerate(sorted(tags)):
+        parts += [F.lit(("," if i else "") + keys[k] + "="), F.coalesce(_escaped(tags[k].cast("string")), F.lit(""))]
+    return F.concat(*parts, F.lit("}"))
 
 
 def series_id(metric: Column, tags: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.functions.columns import DAY_S, epoch_seconds, series_id
+from tagtide.functions.columns import DAY_S, epoch_seconds, series_id, series_id_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,9 +16,9 @@ def to_points(df: DataFrame, metric: str, tags: dict[str, Column], ts: Column, v
     """Points of one metric. ``seq`` must be unique among rows of equal time; it makes first and last definite."""
     made = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v.cast("string"))])
     return df.select(
-        F.lit(metric).alias("metric"), made.alias("tags"), ts.alias("ts"), value.cast("double").alias("value"),
-        seq.cast("bigint").alias("seq"),
-    ).select("metric", series_id(F.col("metric"), F.col("tags")).alias("series_id"), "tags", "ts", "value", "seq")
+        F.lit(metric).alias("metric"), series_id_of(metric, tags).alias("series_id"), made.alias("tags"), ts.alias("ts"),
+        value.cast("double").alias("value"), seq.cast("bigint").alias("seq"),
+    )
 
 
 def event_points(spark: SparkSession, folder: str, with_user: bool = False) -> DataFrame:

@@ -211,3 +211,13 @@ def test_null_times_and_values_are_no_points(spark):
     df = spark.createDataFrame([("cpu", "s", None, 1.0, 0), ("cpu", "s", 3, None, 1), ("cpu", "s", 4, 2.0, 2)], "metric string, series_id string, ts long, value double, seq long")
     assert range_scan(df).count() == 1 and range_scan(df.limit(0)).count() == 0
     assert downsample(range_scan(df.limit(0)), "avg", 60).where(F.lit(True)).count() == 0
+
+
+def test_known_keys_give_the_same_ids(spark):
+    from tagtide.functions.columns import series_id, series_id_of
+
+    df = spark.createDataFrame([("a,b", "x=\\y"), (None, "{}"), ("", "plain")], "p string, q string")
+    tags = {"q": F.col("q"), "p": F.col("p"), "k=1": F.lit("v")}
+    made = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)])
+    rows = df.select(series_id_of("m", tags).alias("a"), series_id(F.lit("m"), made).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) == 3
