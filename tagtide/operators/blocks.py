@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster sets it, else a local one for tests."""
+    """A fresh folder where all executors can read and write: in spark.checkpoint.dir as the cluster sets it, else in
+    the checkpoint folder given to the context, else, as in tests, in a local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file:///tmp/tagtide-checkpoints"
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = given.get() if given.isDefined() else "file:///tmp/tagtide-checkpoints"
     return f"{where.rstrip('/')}/tagtide-{uuid.uuid4().hex}"
 
 

@@ -9,6 +9,7 @@ from tagtide.functions.aggregates import named
 from tagtide.functions.columns import bucket_label, bucket_start
 from tagtide.plans.spec import coarsest_within
 
+#: Labels of where a bucket's value comes from.
 RAW, ONE_BUCKET, MERGED, CROSS, MISSING = "raw", "pre_agg:1", "pre_agg:n", "cross_merged", "missing"
 
 
@@ -23,14 +24,24 @@ def range_aggregate(points: DataFrame, agg: str) -> DataFrame:
     )
 
 
-def auto_merge(per_series: DataFrame, agg: str, metric: str) -> DataFrame:
-    """All series into one row with the same function, ordered by first time and id."""
+def auto_merge(per_series: DataFrame, agg: str, metric: str, several: Column) -> DataFrame:
+    """All series into one row with the same function, ordered by first time and id. ``several`` tells whether more
+    than one series matched; if not, the one row there is stays as it is."""
     order = F.struct("bucket_ts", "series_id")
     return (
         per_series.groupBy()
-        .agg(F.min("bucket_ts").alias("bucket_ts"), named(agg).across(F.col("value"), order).alias("value"))
+        .agg(
+            F.min("bucket_ts").alias("bucket_ts"),
+            named(agg).across(F.col("value"), order).alias("merged"),
+            F.max("value").alias("single"),
+            F.min("series_id").alias("id"),
+        )
         .where(F.col("bucket_ts").isNotNull())
-        .select(F.lit(f"{metric}::__aggregate__").alias("series_id"), "bucket_ts", "value")
+        .select(
+            F.when(several, f"{metric}::__aggregate__").otherwise(F.col("id")).alias("series_id"),
+            "bucket_ts",
+            F.when(several, F.col("merged")).otherwise(F.col("single")).alias("value"),
+        )
     )
 
 

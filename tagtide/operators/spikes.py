@@ -45,7 +45,7 @@ ROUNDS = 8
 def reading_blocks(points: DataFrame, catalog: DataFrame) -> DataFrame:
     """(k1, k2, block, rs): distinct readings of a block in order of (ts, value) with a flag for broken limits."""
     rows = of_kind(points, catalog, "gauge")
-    width = F.coalesce(F.col("interval_s") * BLOCK_PERIODS, F.lit(DAY_S))
+    width = F.when(F.col("interval_s") > 0, F.col("interval_s") * BLOCK_PERIODS).otherwise(F.lit(DAY_S))
     block = F.floor((F.col("ts") - F.pmod("ts", width)) / width).cast("bigint")
     broken = F.coalesce(F.col("value") < F.col("low_limit"), F.lit(False)) | F.coalesce(
         F.col("value") > F.col("high_limit"), F.lit(False)

@@ -42,9 +42,9 @@ def query(
         if spec.agg is None:
             return scan.select("series_id", F.col("ts").alias("bucket_ts"), "value", "seq", F.lit(RAW).alias("source"))
         per = range_aggregate(scan, spec.agg)
-        several = (matched if matched is not None else own).select("series_id").distinct().limit(2).count() > 1
-        merged = auto_merge(per, spec.agg, spec.metric) if several else per
-        return merged.withColumn("source", F.lit(RAW))
+        ids = matched if matched is not None else own
+        several = ids.select(F.min("series_id") != F.max("series_id")).scalar()
+        return auto_merge(per, spec.agg, spec.metric, several).withColumn("source", F.lit(RAW))
 
     keys = ("series_id",)
     if spec.group_by is not None and matched is None:

@@ -226,3 +226,18 @@ def test_numbered(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 3).withColumn("o", F.col("id") * 7 - 500)
     for r in numbered(df, ["k"], "o", 64).collect():
         assert r.rn == r.id // 3 + 1
+
+
+def test_intervals_of_no_length(spark):
+    cat = spark.createDataFrame([("g", "gauge", "u", 0, 0.0, 100.0, 1.0), ("free", "gauge", "u", -5, None, None, 1.0)], CATALOG)
+    rows = [("g{}", 5, 101.0), ("g{}", 6, 1.0), ("free{}", 5, 1.0)]
+    assert [r.ts for r in spikes.implausible(points(spark, rows), cat).collect()] == [5]
+    assert grid.regular_grid(points(spark, rows), cat).count() == 0
+
+
+def test_tables_without_metrics(spark):
+    none = catalog(spark).limit(0)
+    rows = [("g{}", 5, 101.0), ("d{}", 6, 1.0)]
+    assert spikes.implausible(points(spark, rows), none).count() == 0
+    assert grid.regular_grid(points(spark, rows), none).count() == 0
+    assert trailing.activity(points(spark, rows), none).count() == 0
