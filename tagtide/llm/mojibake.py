@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 KEPT_WORDS = 200_000
 LAYERS = 3
+#: Words are judged in pieces of at most so many characters.
+LONGEST = 256
 #: How much the cost must drop.
 DROP = 1.5
 
@@ -90,7 +92,7 @@ def kind(ch: str) -> tuple[str, str]:
     if ch in BREAKS:
         return "b", ""
     if code in (0xFEFF, 0xFE0F, 0x200D) or 0x200B <= code <= 0x200F:
-        return "m", ""
+        return "z", ""
     if EAST_MARKS.match(ch):
         return "z", ""
     cat = unicodedata.category(ch)
@@ -180,7 +182,9 @@ def cost(word: str) -> float:
         right = i + 1 < n and letter[i + 1]
         if k in "sq" and (left or right):
             total += 0.05
-        if k == "x":
+        if k == "m":
+            total += 0.3 if i and letter[i - 1] else 1.0
+        elif k == "x":
             total += 4.0
         elif k == "s":
             near = i > 0 and kinds[i - 1][0] in "sq" and word[i - 1] != c
@@ -444,12 +448,17 @@ def _explaining(votes: Counter, words: list[str]) -> Chain:
     return best
 
 
+def parts(word: str) -> list[str]:
+    """A word in pieces of bounded length; only texts without spaces have more than one."""
+    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+
+
 def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool, str | None]:
     """(garbled, restored text, whole, main step) of one text."""
     if not text or text.isascii():
         return False, text, True, None
     body = text[1:] if text[0] == "﻿" else text
-    words = WORD.findall(body)
+    words = [p for w in WORD.findall(body) for p in parts(w)]
     verdicts = {w: known[w] for w in set(words)}
     other_language = of_another_language([w for w, v in verdicts.items() if not v[3]])
     if other_language is not None:
@@ -479,12 +488,11 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
     mixed = any(sound(w) for w in verdicts)
 
     def line(m: re.Match) -> str:
-        held = WORD.findall(m.group())
+        held = [p for w in WORD.findall(m.group()) for p in parts(w)]
         follow = not mixed or (any(verdicts[w][3] for w in held) and not any(sound(w) for w in held))
 
-        def restore(m: re.Match) -> str:
+        def restore(word: str) -> str:
             nonlocal whole
-            word = m.group()
             made, chains, left, garbled = verdicts[word]
             if main and chains != (main,):
                 text, now = other(word)
@@ -494,7 +502,7 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
                 whole = False
             return made
 
-        return WORD.sub(restore, m.group()) if held else m.group()
+        return WORD.sub(lambda w: "".join(map(restore, parts(w.group()))), m.group()) if held else m.group()
 
     fixed = LINE.sub(line, body)
     if main and main[-1] in GAPS:

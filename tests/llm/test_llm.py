@@ -371,3 +371,14 @@ def test_letters_of_another_language():
     bad = "Küçük köpek söyledi. Üç gün düşünmedim Işıl açmadı kapıyı hiç.\n" + text.replace("Señora Ørnulf", "").encode("cp1254").decode("cp1252")
     assert mojibake.examine(bad, mojibake.Verdicts())[:2] == (True, bad.split("\n")[0] + "\n" + text.replace("Señora Ørnulf", ""))
     assert not mojibake.examine(text + " ð, þ, æ – old letters", mojibake.Verdicts())[0]
+
+
+def test_texts_without_spaces():
+    import time
+
+    began = time.process_time()
+    text = "ñandúéà" * 30_000
+    found = mojibake.examine(wrongly(text, "utf-8", "cp1252"), mojibake.Verdicts())
+    assert found[0] and found[1].count("ñandúéà") > 27_000  # a letter may be cut at the end of a piece
+    assert not mojibake.examine("日本語の長い文" * 30_000, mojibake.Verdicts())[0]
+    assert time.process_time() - began < 60
