@@ -7,6 +7,8 @@ repaired by a round trip: it is encoded in a legacy encoding it could have been
 one it could have been written in; the result is kept when the cost drops, and tried again for nested layers.
 UTF-8 sequences misread one byte at a time are also searched inside words that hold real foreign letters.
 Words repeat, so each worker remembers its verdicts up to a bound.
+Words of any length are judged whole; a long one that this does not settle is judged in pieces too, cut where no
+misread character is split.
 
 A document is garbled when a word of it can be repaired, or when it holds characters that only wrong decoding
 leaves behind: replacement characters, C1 controls. Its text is restored word by word; the pair of encodings that
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 KEPT_WORDS = 200_000
 LAYERS = 3
-#: Words are judged in pieces of at most so many characters.
+#: Words longer than this that are not explained as a whole are judged in pieces of at most so many characters too.
 LONGEST = 256
+#: The longest character a cut may fall into: four bytes, misread LAYERS times.
+LOOK = 36
 #: How much the cost must drop.
 DROP = 1.5
 
@@ -345,20 +349,31 @@ def from_han(word: str) -> tuple[str, Chain, float] | None:
     return None
 
 
+def _settled(word: str, chain: Chain, left: float) -> bool:
+    """Little of a long word is left to explain, or next to nothing after strict UTF-8."""
+    return left < DROP or bool(chain) and chain[0][1] == "utf-8" and left < len(word) / 50
+
+
 def repaired(word: str) -> tuple[str, tuple[Chain, ...], float]:
     """(text, chains, cost left). Several chains explain the word equally well; the text is that of the first.
     There are none where nothing lowers the cost."""
     start = cost(word)
     found = layered(word, start) if start >= DROP else from_han(word)
-    if found is not None:
+    # what leaves much of a long word may be chance: other readings of the whole are compared
+    if found is not None and (len(word) <= LONGEST or _settled(word, found[1], found[2])):
         return found[0], (found[1],), found[2]
     if start < DROP:
         return word, (), start
-    made = [(cost(text), text, step) for step in PLAIN for text in [_plain(word, step)] if text is not None]
-    if not made or (least := min(m[0] for m in made)) > start - DROP:
-        return word, (), start
-    near = [m for m in made if m[0] <= least + 0.6]
-    first = min(near, key=lambda m: m[0])
+    near: list[tuple[float, str, Step]] = []
+    least = (found[2] if found else start) - DROP
+    enough = least
+    for step in PLAIN:
+        text = _plain(word, step)
+        if text is not None and (now := cost(text)) <= least + 0.6:
+            least = min(least, now)
+            near = [m for m in near if m[0] <= least + 0.6] + [(now, text, step)]
+    if not near or (first := min(near, key=lambda m: m[0]))[0] > enough:
+        return (found[0], (found[1],), found[2]) if found else (word, (), start)
     return first[1], tuple((m[2],) for m in near), first[0]
 
 
@@ -448,9 +463,60 @@ def _explaining(votes: Counter, words: list[str]) -> Chain:
     return best
 
 
-def parts(word: str) -> list[str]:
-    """A word in pieces of bounded length; only texts without spaces have more than one."""
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def _cut(word: str, at: int, chain: Chain) -> int:
+    """The end of the piece that begins at ``at``, at most LONGEST further on: the last place that no misread character
+    straddles. Round trips that cannot be searched inside a word show it by passing, the others by giving on both
+    sides of the cut together what they give without it."""
+    end = at + LONGEST
+
+    def passed(steps: Chain, look: int) -> int | None:
+        for cut in range(end, end - look, -1):
+            made = _through(word[at:cut], steps)
+            if made is not None and (steps[-1][1] not in WRITTEN_EAST or KANA.search(made)):
+                return cut
+        return None
+
+    for steps, look in ([(chain, LOOK)] if chain else []) + [(((w, "utf-8"),), 8) for w in DOUBLE]:
+        if steps[0][1] != "utf-8 inside" and (cut := passed(steps, look)) is not None:
+            return cut
+    start = max(at, end - 2 * LOOK)
+    around = word[start : end + 2 * LOOK]
+    found = layered(around, now) if (now := cost(around)) >= DROP else None
+    for steps in (chain, found[1] if found else ()):
+        target = _through(around, steps)
+        if target in (None, around):
+            continue
+        for cut in range(end, end - LOOK, -1):
+            sides = _through(word[start:cut], steps) or word[start:cut], _through(around[cut - start :], steps) or around[cut - start :]
+            if "".join(sides) == target:
+                return cut
+    for step in PLAIN:
+        if step[1] in WRITTEN_EAST and (cut := passed((step,), 4)) is not None:
+            return cut
+    return end
+
+
+def parts(word: str, whole: tuple, known: Verdicts) -> tuple[list[str], dict[str, tuple]] | None:
+    """The pieces of a long word, cut at lost characters first, and their verdicts; None where it is best taken as a
+    whole: it is settled, or no piece alone is repaired better."""
+    chain = whole[1][0] if whole[1] else ()
+    if len(word) <= LONGEST or _settled(word, chain, whole[2]):
+        return None
+    made, verdicts = [], {}
+    for run in re.findall(f"{LOST}+|[^{LOST}]+", word):
+        of_run = whole if run == word else known[run]
+        own, at = of_run[1][0] if of_run[1] else (), 0
+        if len(run) <= LONGEST or _settled(run, own, of_run[2]):
+            made.append(run)
+            verdicts[run] = of_run
+            continue
+        while at < len(run):
+            end = _cut(run, at, own) if len(run) - at > LONGEST else len(run)
+            made.append(run[at:end])
+            at = end
+    verdicts |= {p: known[p] for p in set(made) if p not in verdicts}
+    gain = sum(max(0.0, cost(_through(p, chain) or p) - v[2]) for p, v in verdicts.items() if v[1])
+    return (made, verdicts) if gain >= DROP else None
 
 
 def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool, str | None]:
@@ -458,8 +524,15 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
     if not text or text.isascii():
         return False, text, True, None
     body = text[1:] if text[0] == "﻿" else text
-    words = [p for w in WORD.findall(body) for p in parts(w)]
+    words = WORD.findall(body)
     verdicts = {w: known[w] for w in set(words)}
+    pieces: dict[str, list[str]] = {}
+    for w in [w for w in verdicts if len(w) > LONGEST]:
+        if (cut := parts(w, verdicts[w], known)) is not None:
+            pieces[w] = cut[0]
+            del verdicts[w]
+            verdicts |= cut[1]
+    words = [p for w in words for p in pieces.get(w, (w,))]
     other_language = of_another_language([w for w, v in verdicts.items() if not v[3]])
     if other_language is not None:
         step, hit = other_language
@@ -488,7 +561,7 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
     mixed = any(sound(w) for w in verdicts)
 
     def line(m: re.Match) -> str:
-        held = [p for w in WORD.findall(m.group()) for p in parts(w)]
+        held = [p for w in WORD.findall(m.group()) for p in pieces.get(w, (w,))]
         follow = not mixed or (any(verdicts[w][3] for w in held) and not any(sound(w) for w in held))
 
         def restore(word: str) -> str:
@@ -502,7 +575,8 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
                 whole = False
             return made
 
-        return WORD.sub(lambda w: "".join(map(restore, parts(w.group()))), m.group()) if held else m.group()
+        whole_word = lambda w: "".join(map(restore, pieces.get(w.group(), (w.group(),))))
+        return WORD.sub(whole_word, m.group()) if held else m.group()
 
     fixed = LINE.sub(line, body)
     if main and main[-1] in GAPS:

@@ -382,3 +382,27 @@ def test_texts_without_spaces():
     assert found[0] and found[1].count("ñandúéà") > 27_000  # a letter may be cut at the end of a piece
     assert not mojibake.examine("日本語の長い文" * 30_000, mojibake.Verdicts())[0]
     assert time.process_time() - began < 60
+
+
+LONG_JAPANESE = "".join(random.Random(1).choices("日本語の長い文船はもう出たよ誰知らない", k=2000))
+
+
+def test_long_words_lose_nothing_at_cuts():
+    text = "ñandúéà" * 30_000
+    assert mojibake.examine(wrongly(text, "utf-8", "cp1252"), mojibake.Verdicts())[:3] == (True, text, True)
+    a, b = LONG_JAPANESE[:700], LONG_JAPANESE[700:]
+    for wrong in ("cp1252", "mac_roman", "cp437"):
+        bad = wrongly(LONG_JAPANESE, "utf-8", wrong)
+        assert mojibake.examine(bad, mojibake.Verdicts())[:3] == (True, LONG_JAPANESE, True), wrong
+        with_lost = wrongly(a, "utf-8", wrong) + "\ufffd" + wrongly(b, "utf-8", wrong)
+        assert mojibake.examine(with_lost, mojibake.Verdicts())[:3] == (True, f"{a}\ufffd{b}", False), wrong
+    twice = wrongly(wrongly(LONG_JAPANESE, "utf-8", "cp1252"), "utf-8", "latin-1")
+    assert mojibake.examine(twice, mojibake.Verdicts())[:3] == (True, LONG_JAPANESE, True)
+    euc = LONG_JAPANESE.encode("euc_jp").decode("latin-1")
+    assert mojibake.examine(euc, mojibake.Verdicts())[:3] == (True, LONG_JAPANESE, True)
+
+
+def test_the_only_sequence_of_a_long_word_is_found():
+    for at in range(250, 262):
+        bad = "日" * at + "æ—¥" + "本" * 300
+        assert mojibake.examine(bad, mojibake.Verdicts())[:3] == (True, "日" * (at + 1) + "本" * 300, True), at
