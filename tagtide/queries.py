@@ -5,6 +5,8 @@ Doubles are rounded to 6 places on both sides: sums of doubles depend on the ord
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,13 +103,13 @@ def add(name: str, build, sql: str | None = None) -> None:
 
 
 def spec_query(source, *args, **kwargs):
-    return lambda spark, d: plain(query(source(spark, d), QuerySpec(*args, **kwargs)))
+    return lambda spark, d, e=source: plain(query(e(spark, d), QuerySpec(*args, **kwargs)))
 
 
 # ---- scans and tag predicates
 add(
     "raw_range_scan",
-    lambda s, d: rounded(query(event_points(s, d), QuerySpec(E_METRIC, t_start=A, t_end=B))).select(
+    lambda s, d, e=event_points: rounded(query(e(s, d), QuerySpec(E_METRIC, t_start=A, t_end=B))).select(
         "series_id", "bucket_ts", "value", "seq"
     ),
     with_p("e", f"SELECT series_id, ts AS bucket_ts, round(value, 6) AS value, seq FROM p WHERE ts BETWEEN {A} AND {B}"),
@@ -209,8 +211,8 @@ add(
 for agg in AGGS:
     add(
         f"range_agg_{agg}",
-        lambda s, d, agg=agg: plain(
-            query(event_points(s, d), QuerySpec(E_METRIC, {"event_type": "view"}, A, B, agg))
+        lambda s, d, agg=agg, e=event_points: plain(
+            query(e(s, d), QuerySpec(E_METRIC, {"event_type": "view"}, A, B, agg))
         ),
         with_p(
             "e",
@@ -252,8 +254,8 @@ ROLL_COLS = "series_id, bucket_ts, count, round(sum, 6) AS sum, min, max, first_
 for g, width in GRANULARITIES.items():
     add(
         f"rollup_{g}",
-        lambda s, d, g=g: (
-            build_rollup(event_points(s, d), [x for x, w in GRANULARITIES.items() if w <= GRANULARITIES[g]])
+        lambda s, d, g=g, e=event_points: (
+            build_rollup(e(s, d), [x for x, w in GRANULARITIES.items() if w <= GRANULARITIES[g]])
             .where(F.col("granularity") == g)
             .withColumn("sum", F.round("sum", 6))
             .select("series_id", "bucket_ts", "count", "sum", "min", "max", "first_ts", "first_val", "last_ts", "last_val")
@@ -267,7 +269,7 @@ for g, width in GRANULARITIES.items():
     )
 add(
     "rollup_contained",
-    lambda s, d: plain(read_rollup(build_rollup(event_points(s, d), ["15m", "1h"]), "1h", "avg", A, B)),
+    lambda s, d, e=event_points: plain(read_rollup(build_rollup(e(s, d), ["15m", "1h"]), "1h", "avg", A, B)),
     with_p(
         "e",
         f"""SELECT series_id, bucket_ts, round(value, 6) AS value FROM (SELECT series_id, (ts // 3600) * 3600 AS bucket_ts,
@@ -276,8 +278,8 @@ add(
 )
 add(
     "rollup_state",
-    lambda s, d: (
-        mark_complete(build_rollup(event_points(s, d), ["6h"]), B)
+    lambda s, d, e=event_points: (
+        mark_complete(build_rollup(e(s, d), ["6h"]), B)
         .groupBy("state")
         .agg(F.count(F.lit(1)).alias("n_buckets"), F.sum("count").alias("n_points"))
     ),
@@ -290,7 +292,7 @@ add(
 )
 add(
     "rollup_stats",
-    lambda s, d: rollup_stats(build_rollup(event_points(s, d))),
+    lambda s, d, e=event_points: rollup_stats(build_rollup(e(s, d))),
     with_p(
         "e",
         " UNION ALL ".join(
@@ -303,8 +305,8 @@ add(
 
 
 def stitched(source, metric, agg, interval, a, b):
-    def build(spark, d):
-        points = source(spark, d)
+    def build(spark, d, e=source):
+        points = e(spark, d)
         names = [g for g, w in GRANULARITIES.items() if w <= interval][-1:]
         spec = QuerySpec(metric, {}, a, b, agg, interval)
         out = query(points, spec, series=catalog.series_dimension(points), rollup=build_rollup(points, names))
@@ -347,7 +349,7 @@ add(
 )
 add(
     "cross_pooled",
-    lambda s, d: plain(pooled(range_scan(event_points(s, d), A, B), "avg", 86400, E_METRIC, A)),
+    lambda s, d, e=event_points: plain(pooled(range_scan(e(s, d), A, B), "avg", 86400, E_METRIC, A)),
     with_p(
         "e",
         f"""SELECT 'events.value::__pooled__' AS series_id, greatest((ts // 86400) * 86400, {A}) AS bucket_ts,
@@ -390,7 +392,7 @@ add(
 )
 add(
     "query_stats",
-    lambda s, d: query_stats(query(event_points(s, d), QuerySpec(E_METRIC, {}, A, B, "avg", 21600)), 21600),
+    lambda s, d, e=event_points: query_stats(query(e(s, d), QuerySpec(E_METRIC, {}, A, B, "avg", 21600)), 21600),
     f"""SELECT series_id, count(*) AS total_buckets, count(*) FILTER (source = 'raw') AS raw_buckets,
  count(*) FILTER (source = 'pre_agg:1') AS single_buckets, count(*) FILTER (source = 'pre_agg:n') AS merged_buckets,
  CAST(0 AS BIGINT) AS cross_buckets, '6h' AS source_granularity,
@@ -411,7 +413,7 @@ add(
 )
 add(
     "chunk_prune",
-    lambda s, d: chunks.prune(chunks.chunk_stats(chunks.chunked(event_points(s, d))), A, B),
+    lambda s, d, e=event_points: chunks.prune(chunks.chunk_stats(chunks.chunked(e(s, d))), A, B),
     f"""SELECT * FROM (SELECT series_id, chunk_id, count(*) AS n_points, min(ts) AS min_ts, max(ts) AS max_ts,
  count(*) = 3600 AS sealed, count(*) * 16 AS raw_bytes FROM (SELECT *, CAST((row_number() OVER (PARTITION BY series_id
  ORDER BY seq) - 1) // 3600 AS INT) AS chunk_id FROM ({E_SQL})) GROUP BY series_id, chunk_id)
@@ -433,17 +435,17 @@ add(
 )
 add(
     "value_codec_roundtrip",
-    lambda s, d: rounded(codec.unseal(codec.seal(chunks.chunked(event_points(s, d))))).select("series_id", "ts", "value"),
+    lambda s, d, e=event_points: rounded(codec.unseal(codec.seal(chunks.chunked(e(s, d))))).select("series_id", "ts", "value"),
     with_p("e", "SELECT series_id, ts, round(value, 6) AS value FROM p"),
 )
-add("storage_stats", lambda s, d: chunks.storage_stats(codec.seal(chunks.chunked(event_points(s, d)))))
+add("storage_stats", lambda s, d, e=event_points: chunks.storage_stats(codec.seal(chunks.chunked(e(s, d)))))
 
 
-def late_points(spark, d):
+def late_points(spark, d, e=event_points):
     """Rollup rows after repairing the buckets of late points equal those of all points."""
     from tagtide.streaming.rollups import repair
 
-    points = event_points(spark, d)
+    points = e(spark, d)
     late = points.where(F.col("seq") % 7 == 3)
     early = build_rollup(points.where(F.col("seq") % 7 != 3), ["1h"])
     return repair(early, points, late, "1h").withColumn("sum", F.round("sum", 6)).select(
@@ -454,20 +456,20 @@ def late_points(spark, d):
 add("rollup_repair_late", late_points, SQL["rollup_1h"])
 add(
     "stream_rollup_1h",
-    lambda s, d: _streamed(s, d).withColumn("sum", F.round("sum", 6)).select(
+    lambda s, d, e=event_points: _streamed(s, d, e).withColumn("sum", F.round("sum", 6)).select(
         "series_id", "bucket_ts", "count", "sum", "min", "max", "first_ts", "first_val", "last_ts", "last_val"
     ),
     SQL["rollup_1h"],
 )
 
 
-def _streamed(spark, d):
+def _streamed(spark, d, e=event_points):
     """Events read as a stream, rolled up with a watermark, upserted as versions, newest read back."""
     from tagtide.operators.blocks import shared_folder
     from tagtide.streaming.rollups import newest, start_rollup
 
     where = shared_folder(spark)
-    static = event_points(spark, d)
+    static = e(spark, d)
     source = f"{where}/in"
     static.write.parquet(source)
     stream = spark.readStream.schema(static.schema).parquet(source)
@@ -476,4 +478,20 @@ def _streamed(spark, d):
     return newest(spark.read.parquet(f"{where}/out"))
 
 
+# ---- the same queries of events over one series per event type and user
+E_USER_SQL = """SELECT 'events.value' AS metric, 'events.value{event_type=' || event_type || ',user_id='
+ || coalesce(CAST(user_id AS VARCHAR), '') || '}' AS series_id, event_type, user_id, epoch_us(ts) // 1000000 AS ts,
+ CAST(value AS DOUBLE) AS value, event_id AS seq FROM events"""
+ON_EVENTS = [name for name in QUERIES if E_SQL in SQL.get(name, "")] + ["storage_stats"]
+for name in ON_EVENTS:
+    sql = SQL[name].replace(E_SQL, E_USER_SQL) if name in SQL else None
+    if name.startswith("range_agg_"):
+        # of many matched series the whole range is one row, as in range_auto_merge
+        agg = name.removeprefix("range_agg_")
+        sql = f"""WITH p AS ({E_USER_SQL}) SELECT 'events.value::__aggregate__' AS series_id, min(ts) AS bucket_ts,
+ round({MERGE_SQL[agg]}, 6) AS value FROM (SELECT series_id, min(ts) AS ts, {AGG_SQL[agg]} AS value FROM p
+ WHERE ts BETWEEN {A} AND {B} AND event_type = 'view' GROUP BY series_id) HAVING count(*) > 0"""
+    add(f"{name}_by_user", partial(QUERIES[name], e=partial(event_points, with_user=True)), sql)
+
+
 __all__ = ["QUERIES", "SQL", "Window", "in_range"]
