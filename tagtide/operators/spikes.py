@@ -35,7 +35,7 @@ BLOCK_PERIODS = 512
 #: Readings of the neighbouring blocks that a block sees on each side, and how many blocks they may come from.
 #: Every block holds at least one reading, so STUCK_RUN blocks always reach far enough for a stretch.
 CONTEXT = 32
-SPIKE_SCATTERS = 11.0
+SPIKE_SCATTERS = 10.0
 STUCK_RUN = 12
 FEW = 5
 WINDOW = 31

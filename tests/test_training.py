@@ -241,3 +241,12 @@ def test_tables_without_metrics(spark):
     assert spikes.implausible(points(spark, rows), none).count() == 0
     assert grid.regular_grid(points(spark, rows), none).count() == 0
     assert trailing.activity(points(spark, rows), none).count() == 0
+
+
+def test_a_spike_leaves_the_level_by_more_than_ten_scatters():
+    rng = np.random.default_rng(5)
+    y = rng.normal(50, 1, 400)
+    for off, found in ((10.5, True), (9.5, False)):
+        bad = y.copy()
+        bad[200] = spikes.running_median(y)[200] + off * spikes.scatter(y)
+        assert bool(spikes.outliers(bad, 0.0, spikes.scatter(y))[200]) is found, off
