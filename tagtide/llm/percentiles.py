@@ -12,7 +12,8 @@ repeated any number of times is one row, combined before every shuffle. Nothing
 Defined cases: null and NaN values and rows without group key are left out; copies (same series, time, value)
 count once; a group of one value has that value as every percentile; infinite values sort at the ends; a
 percentile between two infinities, or one and a number, is the lower neighbour; an empty table gives no rows;
-other columns are ignored. Series without zone, or with a blank one, belong to no zone group.
+other columns are ignored. Series without zone, with a blank one or not
+registered belong to no zone group; they have percentiles of their own.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tagtide.llm.term_frequency import folded
 from tagtide.operators.blocks import written
-from tagtide.operators.readings import KEY, metric_of, of_kind, series_key
+from tagtide.operators.readings import KEY, metric_of, of_kind, series_key, series_names
 
 RUN_ROWS = 1024
 RUNS = "pid int, k1 bigint, k2 bigint, local_start bigint, total bigint, vals array<double>, ends array<bigint>"
@@ -170,7 +171,7 @@ def named_percentiles(
 ) -> DataFrame:
     """(scope, name, n, q, value): scope ``series`` with its id, scope ``group`` with ``metric|zone``."""
     made, groups = gauge_percentiles(points, catalog, series, qs)
-    own = groups.select(*KEY, F.lit("series").alias("scope"), F.col("series_id").alias("name"))
+    own = series_names(points).select(*KEY, F.lit("series").alias("scope"), F.col("series_id").alias("name"))
     zones = (
         groups.where(F.col("zone").isNotNull())
         .select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.lit("group").alias("scope"),

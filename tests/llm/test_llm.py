@@ -406,3 +406,9 @@ def test_the_only_sequence_of_a_long_word_is_found():
     for at in range(250, 262):
         bad = "日" * at + "æ—¥" + "本" * 300
         assert mojibake.examine(bad, mojibake.Verdicts())[:3] == (True, "日" * (at + 1) + "本" * 300, True), at
+
+
+def test_unregistered_series_have_percentiles(spark):
+    rows = [("g{a}", i, float(i)) for i in range(5)] + [("g{new}", i, float(10 * i)) for i in range(5)]
+    made = percentiles.named_percentiles(*tables(spark, rows, [("g{a}", {"zone": "n"})]), (0.5,)).collect()
+    assert {(r.scope, r.name, r.n, r.value) for r in made} == {("series", "g{a}", 5, 2.0), ("series", "g{new}", 5, 20.0), ("group", "g|n", 5, 2.0)}
