@@ -66,8 +66,13 @@ def running_median(y: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def scatter(y: np.ndarray) -> float:
-    """Robust standard deviation of successive differences, brought to that of single values."""
-    return float(np.median(np.abs(np.diff(y))) * 1.4826 / np.sqrt(2)) if len(y) > 1 else 0.0
+    """Robust standard deviation of successive differences, brought to that of single values. Where more than half of
+    the readings repeat the one before, that of the differences that are not 0."""
+    moves = np.abs(np.diff(y))
+    usual = np.median(moves) if len(moves) else 0.0
+    if usual == 0 and moves.any():
+        usual = np.median(moves[moves > 0])
+    return float(usual * 1.4826 / np.sqrt(2))
 
 
 def long_runs(ts: np.ndarray, v: np.ndarray, least: int = STUCK_RUN) -> np.ndarray:

@@ -250,3 +250,12 @@ def test_a_spike_leaves_the_level_by_more_than_ten_scatters():
         bad = y.copy()
         bad[200] = spikes.running_median(y)[200] + off * spikes.scatter(y)
         assert bool(spikes.outliers(bad, 0.0, spikes.scatter(y))[200]) is found, off
+
+
+def test_spikes_of_a_gauge_that_mostly_repeats():
+    rng = np.random.default_rng(6)
+    y = 20 + np.where(rng.random(400) < 0.15, rng.choice([-1.0, 1.0], 400), 0.0)
+    assert np.median(np.abs(np.diff(y))) == 0
+    y[[90, 250, 251]] = [60.0, -30.0, -31.0]
+    assert np.flatnonzero(spikes.outliers(y, 0.0, spikes.scatter(y))).tolist() == [90, 250, 251]
+    assert spikes.scatter(np.full(50, 3.0)) == 0
