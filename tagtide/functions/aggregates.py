@@ -1,7 +1,7 @@
 """The named aggregates and their three forms.
 
 ``point``  over points: value and an event-time order ``(ts, seq)``
-``merge``  over rollup rows: exact combination of stored partial states
+``merge``  over rollup rows: exact combination of stored partial states; ``first_key`` and ``last_key`` order them
 ``across`` over one value per series: order decides first and last
 
 Every form is a built-in Spark aggregate with map-side partial aggregation.
@@ -40,18 +40,10 @@ def named(name: str) -> Aggregate:
     return AGGREGATES[name]
 
 
-def first_order() -> Column:
-    return F.struct("first_ts", "first_seq")
-
-
-def last_order() -> Column:
-    return F.struct("last_ts", "last_seq")
-
-
 register("sum", lambda v, o: F.sum(v), merge=lambda: F.sum("sum"))
 register("avg", lambda v, o: F.avg(v), merge=lambda: F.sum("sum") / F.sum("count"))
 register("min", lambda v, o: F.min(v), merge=lambda: F.min("min"))
 register("max", lambda v, o: F.max(v), merge=lambda: F.max("max"))
 register("count", lambda v, o: F.count(v).cast("double"), merge=lambda: F.sum("count").cast("double"))
-register("first", lambda v, o: F.min_by(v, o), merge=lambda: F.min_by("first_val", first_order()))
-register("last", lambda v, o: F.max_by(v, o), merge=lambda: F.max_by("last_val", last_order()))
+register("first", lambda v, o: F.min_by(v, o), merge=lambda: F.min_by("first_val", "first_key"))
+register("last", lambda v, o: F.max_by(v, o), merge=lambda: F.max_by("last_val", "last_key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,32 @@ def bucket_label(bucket: Column, t_start: int | None) -> Column:
     return bucket if t_start is None else F.greatest(bucket, F.lit(int(t_start)))
 
 
+#: One step of the offset in an order key, and the shift that makes sequence numbers non-negative.
+_STEP, _SHIFT = 1 << 64, 1 << 63
+#: Offsets of at least this many seconds do not fit the key.
+ORDER_SPAN = 10**18
+
+
+def _whole(n: int) -> Column:
+    return F.lit(Decimal(n)).cast("decimal(20,0)")
+
+
+def order_key(offset: Column, seq: Column) -> Column:
+    """(offset, seq) as one DECIMAL(38) for 0 <= offset < ORDER_SPAN: aggregates ordered by it keep fixed-width buffers
+    and run as hash aggregates, where a struct would have every task sort its rows first. A null seq comes first."""
+    place = F.coalesce(seq.cast("decimal(20,0)"), _whole(-_SHIFT)) + _whole(_SHIFT)
+    return (offset.cast("decimal(18,0)") * _whole(_STEP) + place).cast("decimal(38,0)")
+
+
+def order_offset(key: Column) -> Column:
+    return F.call_function("div", key, _whole(_STEP))
+
+
+def order_seq(key: Column) -> Column:
+    rest = key % _whole(_STEP) - _whole(_SHIFT)
+    return F.nullif(rest.cast("bigint"), F.lit(Decimal(-_SHIFT)).cast("bigint"))
+
+
 def _escaped(text: Column) -> Column:
     for mark in ("\\", ",", "=", "{", "}"):
         text = F.replace(text, F.lit(mark), F.lit("\\" + mark))

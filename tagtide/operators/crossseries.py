@@ -36,20 +36,37 @@ def group_by_tag(per_series: DataFrame, tag_value: Column, tag: str, cross_agg:
     )
 
 
-def cross_sources(per_series: DataFrame, matched: DataFrame) -> DataFrame:
-    """Per bucket a map of every matched series to its source, ``missing`` where it has no point. Present
-    sources are aggregated per bucket, absent ones come from the difference to the list of matched ids, which
-    holds one id per series and is read once; no bucket-by-series product is built."""
+def present_sources(per_series: DataFrame) -> DataFrame:
+    """(bucket_ts, series_id, source) of what is there, one row per series and non-empty bucket."""
+    return per_series.select("bucket_ts", "series_id", "source")
+
+
+def missing_counts(per_series: DataFrame, matched: DataFrame) -> DataFrame:
+    """(bucket_ts, n_present, n_missing): how many matched series lack the bucket. One number per bucket."""
+    total = matched.select(F.count_distinct("series_id")).scalar()
+    return (
+        per_series.groupBy("bucket_ts")
+        .agg(F.count_distinct("series_id").alias("n_present"))
+        .withColumn("n_missing", total - F.col("n_present"))
+    )
+
+
+def cross_sources(per_series: DataFrame, matched: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Per bucket a map of every matched series to its source, ``missing`` where it has no point. Such a map has as
+    many entries as series match, so the query fails when there are more than ``limit`` of them; ``present_sources``
+    and ``missing_counts`` hold for any number."""
+    few = matched.select("series_id").distinct().limit(limit + 1)
+    ids = few.select(F.array_sort(F.collect_list("series_id"))).scalar()
     present = per_series.groupBy("bucket_ts").agg(
-        F.array_sort(F.collect_list(F.struct("series_id", "source"))).alias("held")
+        F.array_sort(F.collect_list(F.struct("series_id", "source"))).alias("held"), ids.alias("ids")
     )
-    ids = matched.agg(F.array_sort(F.collect_set("series_id")).alias("ids")).withColumn("one", F.lit(1))
-    joined = present.withColumn("one", F.lit(1)).join(ids, "one")
+    told = F.raise_error(F.lit(f"more than {limit} series match; use present_sources and missing_counts"))
+    checked = F.when(F.size("ids") > limit, told.cast("array<string>")).otherwise(F.col("ids"))
     absent = F.transform(
-        F.array_except("ids", F.transform("held", lambda h: h["series_id"])),
+        F.array_except(checked, F.transform("held", lambda h: h["series_id"])),
         lambda s: F.struct(s.alias("series_id"), F.lit(MISSING).alias("source")),
     )
-    return joined.select("bucket_ts", F.map_from_entries(F.array_sort(F.concat("held", absent))).alias("series_sources"))
+    return present.select("bucket_ts", F.map_from_entries(F.array_sort(F.concat("held", absent))).alias("series_sources"))
 
 
 def pooled(points: DataFrame, cross_agg: str, interval: int, metric: str, t_start: int | None = None) -> DataFrame:

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.aggregates import named
-from tagtide.functions.columns import bucket_label, bucket_start
-from tagtide.plans.spec import coarsest_within
+from tagtide.functions.columns import ORDER_SPAN, bucket_label, bucket_start, order_key
 
 #: Labels of where a bucket's value comes from.
 RAW, ONE_BUCKET, MERGED, CROSS, MISSING = "raw", "pre_agg:1", "pre_agg:n", "cross_merged", "missing"
 
 
-def event_order() -> Column:
-    return F.struct("ts", "seq")
+def event_order(interval: int | None = None) -> Column:
+    """Order of points by (ts, seq); within buckets of a known width as a key of fixed width."""
+    if interval is None or interval >= ORDER_SPAN:
+        return F.struct("ts", "seq")
+    return order_key(F.pmod(F.col("ts"), F.lit(int(interval))), F.col("seq"))
 
 
 def range_aggregate(points: DataFrame, agg: str) -> DataFrame:
@@ -50,36 +52,16 @@ def downsample(
     agg: str,
     interval: int,
     t_start: int | None = None,
-    t_end: int | None = None,
     labels: bool = False,
     keys: tuple[str, ...] = ("series_id",),
 ) -> DataFrame:
-    """One row per series and non-empty bucket. With ``labels`` a source column tells whether a rollup of the
-    coarsest fitting granularity holds the bucket: a single stored row, a merge of several, or raw points."""
-    bucket = bucket_start(F.col("ts"), interval)
-    wanted = [named(agg).point(F.col("value"), event_order()).alias("value")]
-    fitting = coarsest_within(interval)
-    if labels and fitting and interval % fitting[1] == 0:
-        wanted.append(F.count_distinct(bucket_start(F.col("ts"), fitting[1])).alias("parts"))
-    made = points.groupBy(*keys, bucket.alias("bucket")).agg(*wanted)
-    source = source_label(interval, t_start, t_end, F.col("parts") if "parts" in made.columns else None)
+    """One row per series and non-empty bucket, read from points; ``labels`` adds a source column that says so."""
+    made = points.groupBy(*keys, bucket_start(F.col("ts"), interval).alias("bucket")).agg(
+        named(agg).point(F.col("value"), event_order(interval)).alias("value")
+    )
     return made.select(
         *keys,
         bucket_label(F.col("bucket"), t_start).alias("bucket_ts"),
         "value",
-        *([source.alias("source")] if labels else []),
+        *([F.lit(RAW).alias("source")] if labels else []),
     )
-
-
-def source_label(interval: int, t_start: int | None, t_end: int | None, parts: Column | None) -> Column:
-    """Where a bucket's value comes from; ``parts`` counts its non-empty rollup rows, None means no rollup fits."""
-    fitting = coarsest_within(interval)
-    if parts is None or fitting is None or interval % fitting[1]:
-        return F.lit(RAW)
-    inside = F.lit(True)
-    if t_start is not None:
-        inside = inside & (F.col("bucket") >= int(t_start))
-    if t_end is not None:
-        inside = inside & (F.col("bucket") + (interval - 1) <= int(t_end))
-    whole = inside & (parts == interval // fitting[1])
-    return F.when(whole, F.lit(ONE_BUCKET if interval == fitting[1] else MERGED)).otherwise(F.lit(RAW))

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from tagtide.functions.columns import ratio
 from tagtide.operators.downsample import CROSS, MERGED, ONE_BUCKET, RAW
+from tagtide.operators.rollup import stored_for
 from tagtide.plans.spec import coarsest_within
 
 
-def query_stats(result: DataFrame, interval: int | None = None) -> DataFrame:
-    """Per result series: buckets by source, the candidate granularity and the share answered from rollups."""
-    fitting = coarsest_within(interval) if interval else None
+def query_stats(result: DataFrame, interval: int | None = None, stored: tuple[str, ...] | None = None) -> DataFrame:
+    """Per result series: buckets by source, the granularity that answers the interval (among the ``stored`` ones if
+    given) and the share of buckets answered from whole rollup rows, which is 0 where no rollup was read."""
+    fitting = coarsest_within(interval)[:1] if interval and coarsest_within(interval) else None
+    if stored is not None and interval:
+        name = stored_for(interval, stored)
+        fitting = (name,) if name else None
     stored = F.count_if(F.col("source").isin(ONE_BUCKET, MERGED))
     return result.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("total_buckets"),
@@ -42,13 +47,16 @@ class ResultSeries:
 
 def nested(result: DataFrame, matched: DataFrame | None = None, limit: int = 100_000) -> list[ResultSeries]:
     """Series ascending, points ascending. With ``matched`` series, those without points appear empty and tags
-    are filled. For presentation: raises beyond ``limit`` rows instead of loading an unbounded result."""
+    are filled. For presentation: raises beyond ``limit`` rows or series instead of loading an unbounded result."""
     rows = result.orderBy("series_id", "bucket_ts").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows; keep the DataFrame")
     found: dict[str, ResultSeries] = {}
     if matched is not None:
-        for r in matched.orderBy("series_id").limit(limit).collect():
+        series = matched.orderBy("series_id").limit(limit + 1).collect()
+        if len(series) > limit:
+            raise ValueError(f"more than {limit} series; keep the DataFrame")
+        for r in series:
             found[r["series_id"]] = ResultSeries(r["series_id"], dict(r["tags"] or {}))
     for r in rows:
         s = found.setdefault(r["series_id"], ResultSeries(r["series_id"]))

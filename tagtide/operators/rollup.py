@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.functions.aggregates import first_order, last_order, named
-from tagtide.functions.columns import DAY_S, bucket_label, bucket_start
-from tagtide.operators.downsample import downsample, event_order, source_label
+from tagtide.functions.aggregates import named
+from tagtide.functions.columns import DAY_S, ORDER_SPAN, bucket_label, bucket_start, order_key, order_offset, order_seq
+from tagtide.operators.downsample import MERGED, ONE_BUCKET, RAW, downsample
 from tagtide.operators.scan import range_scan
 from tagtide.plans.spec import GRANULARITIES, coarsest_within
 
 STATE = ["count", "sum", "min", "max", "first_ts", "first_seq", "first_val", "last_ts", "last_seq", "last_val"]
 
 
+def point_states(ts: Column, seq: Column, width: int) -> list[Column]:
+    """Aggregates of the points of one bucket, all with buffers of fixed width."""
+    key = order_key(F.pmod(ts, F.lit(int(width))), seq)
+    return [
+        F.count("value").alias("count"),
+        F.sum("value").alias("sum"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.min(key).alias("first_key"),
+        F.min_by("value", key).alias("first_val"),
+        F.max(key).alias("last_key"),
+        F.max_by("value", key).alias("last_val"),
+    ]
+
+
+def ends_of_keys(bucket: Column) -> list[Column]:
+    """first and last columns of a bucket from their order keys."""
+    return [
+        made
+        for end in ("first", "last")
+        for made in (
+            (bucket + order_offset(F.col(f"{end}_key"))).alias(f"{end}_ts"),
+            order_seq(F.col(f"{end}_key")).alias(f"{end}_seq"),
+            F.col(f"{end}_val"),
+        )
+    ]
+
+
+def keyed(rollup: DataFrame, width: int) -> DataFrame:
+    """Rollup rows with first_key and last_key, their order within coarser buckets of the width."""
+    key = lambda end: order_key(F.pmod(F.col(f"{end}_ts"), F.lit(int(width))), F.col(f"{end}_seq"))
+    return rollup.withColumns({"first_key": key("first"), "last_key": key("last")})
+
+
 def rollup_points(points: DataFrame, granularity: str) -> DataFrame:
     """Rollup rows of one granularity straight from points."""
     width = GRANULARITIES[granularity]
-    order = event_order()
     return (
         points.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
         .groupBy("metric", "series_id", bucket_start(F.col("ts"), width).alias("bucket_ts"))
-        .agg(
-            F.count("value").alias("count"),
-            F.sum("value").alias("sum"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.min(F.struct("ts", "seq", "value")).alias("a"),
-            F.max_by(F.struct("ts", "seq", "value"), order).alias("z"),
-        )
+        .agg(*point_states(F.col("ts"), F.col("seq"), width))
         .select(
             F.lit(granularity).alias("granularity"), F.lit(width).cast("bigint").alias("interval_s"),
-            "metric", "series_id", "bucket_ts", "count", "sum", "min", "max",
-            F.col("a.ts").alias("first_ts"), F.col("a.seq").alias("first_seq"), F.col("a.value").alias("first_val"),
-            F.col("z.ts").alias("last_ts"), F.col("z.seq").alias("last_seq"), F.col("z.value").alias("last_val"),
+            "metric", "series_id", "bucket_ts", "count", "sum", "min", "max", *ends_of_keys(F.col("bucket_ts")),
         )
     )
 
@@ -44,18 +68,21 @@ def coarsen(rollup: DataFrame, granularity: str, within: tuple[str, ...] = ()) -
     width = GRANULARITIES[granularity]
     bucket = bucket_start(F.col("bucket_ts"), width).alias("bucket_ts")
     return (
-        rollup.groupBy("metric", "series_id", *within, bucket)
+        keyed(rollup, width)
+        .groupBy("metric", "series_id", *within, bucket)
         .agg(
             F.sum("count").alias("count"),
             F.sum("sum").alias("sum"),
             F.min("min").alias("min"),
             F.max("max").alias("max"),
-            F.min(F.struct("first_ts", "first_seq", "first_val")).alias("a"),
-            F.max_by(F.struct("last_ts", "last_seq", "last_val"), last_order()).alias("z"),
+            F.min_by("first_val", "first_key").alias("first_val"),
+            F.min("first_key").alias("first_key"),
+            F.max_by("last_val", "last_key").alias("last_val"),
+            F.max("last_key").alias("last_key"),
         )
         .select(
             F.lit(granularity).alias("granularity"), F.lit(width).cast("bigint").alias("interval_s"),
-            "metric", "series_id", *within, "bucket_ts", "count", "sum", "min", "max", "a.*", "z.*",
+            "metric", "series_id", *within, "bucket_ts", "count", "sum", "min", "max", *ends_of_keys(F.col("bucket_ts")),
         )
     )
 
@@ -110,6 +137,37 @@ def rollup_stats(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy("granularity").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("count").alias("n_points"))
 
 
+def stored_granularities(rollup: DataFrame) -> tuple[str, ...]:
+    """Names of the granularities a rollup holds, finest first. Runs a query; on a store partitioned by granularity it
+    reads no column."""
+    held = {r[0] for r in rollup.select("granularity").distinct().collect()}
+    return tuple(g for g in GRANULARITIES if g in held)
+
+
+def stored_for(interval: int, stored: tuple[str, ...]) -> str | None:
+    """The coarsest stored granularity that divides the interval; None where an interval is answered from points
+    whatever is stored. Raises where no stored granularity divides an interval that rollups can answer."""
+    best = coarsest_within(interval)
+    if best is None or interval % best[1] or interval >= ORDER_SPAN:
+        return None
+    fitting = [g for g, w in GRANULARITIES.items() if g in stored and interval % w == 0]
+    if not fitting:
+        raise ValueError(f"the rollup holds {list(stored)}, none of which divides {interval} s; query without it")
+    return fitting[-1]
+
+
+def source_label(interval: int, width: int, t_start: int | None, t_end: int | None) -> Column:
+    """Label of a bucket read from rollup rows of the width, ``parts`` of which are there: of one or of several rows
+    where every one is there, else raw, the label a bucket with holes bears by rule although no point is read."""
+    inside = F.lit(True)
+    if t_start is not None:
+        inside = inside & (F.col("bucket") >= int(t_start))
+    if t_end is not None:
+        inside = inside & (F.col("bucket") + (interval - 1) <= int(t_end))
+    whole = inside & (F.col("parts") == interval // width)
+    return F.when(whole, F.lit(ONE_BUCKET if interval == width else MERGED)).otherwise(F.lit(RAW))
+
+
 def stitch(
     points: DataFrame,
     rollup: DataFrame,
@@ -118,51 +176,57 @@ def stitch(
     t_start: int | None = None,
     t_end: int | None = None,
     complete_through: int | None = None,
+    stored: tuple[str, ...] | None = None,
+    reads: bool = False,
 ) -> DataFrame:
     """Downsample from rollups where they hold whole buckets and from points at the clipped edges.
 
-    Interior buckets never touch points: a missing rollup row means there are none. The raw scan is limited
-    to the head and tail ranges, both of which reach the reader as range and day predicates. Buckets that end
-    after ``complete_through`` are taken from points as well. Values equal those of a raw downsample."""
-    fitting = coarsest_within(interval)
+    ``stored`` names the granularities the rollup holds for the metric (looked up if not given): the coarsest that
+    divides the interval answers; a rollup that holds none at all leaves everything to the points. Interior buckets
+    never touch points: a missing rollup row means there are none. The raw scan is limited to the head and tail
+    ranges, both of which reach the reader as range and day predicates. Buckets that end after ``complete_through``
+    are taken from points as well. Values equal those of a raw downsample. ``reads`` adds a column ``read``, rollup
+    or points, that tells what each bucket was read from."""
+    if stored is None:
+        stored = stored_granularities(rollup)
+    name = stored_for(interval, tuple(stored)) if stored else None
     form = named(agg)
-    if fitting is None or interval % fitting[1] or form.merge is None:
-        return downsample(range_scan(points, t_start, t_end), agg, interval, t_start, t_end, labels=True)
+    read = lambda df, what: df.withColumn("read", F.lit(what)) if reads else df
     head = None if t_start is None else -(-int(t_start) // interval) * interval
     ends = [e for e in (t_end, complete_through) if e is not None]
     tail = (min(ends) + 1) // interval * interval if ends else None
-    if head is not None and tail is not None and tail <= head:
-        return downsample(range_scan(points, t_start, t_end), agg, interval, t_start, t_end, labels=True)
+    if name is None or form.merge is None or (head is not None and tail is not None and tail <= head):
+        return read(downsample(range_scan(points, t_start, t_end), agg, interval, t_start, labels=True), "points")
 
-    stored = rollup.where(F.col("granularity") == fitting[0])
+    rows = rollup.where(F.col("granularity") == name)
     if head is not None:
-        stored = stored.where(F.col("bucket_ts") >= head)
+        rows = rows.where(F.col("bucket_ts") >= head)
     if tail is not None:
-        stored = stored.where(F.col("bucket_ts") < tail)
-    inner = (
-        stored.groupBy("series_id", bucket_start(F.col("bucket_ts"), interval).alias("bucket"))
+        rows = rows.where(F.col("bucket_ts") < tail)
+    made = (
+        keyed(rows, interval)
+        .groupBy("series_id", bucket_start(F.col("bucket_ts"), interval).alias("bucket"))
         .agg(form.merge().alias("value"), F.count(F.lit(1)).alias("parts"))
         .select(
             "series_id",
             bucket_label(F.col("bucket"), t_start).alias("bucket_ts"),
             "value",
-            source_label(interval, t_start, t_end, F.col("parts")).alias("source"),
+            source_label(interval, GRANULARITIES[name], t_start, t_end).alias("source"),
         )
     )
+    made = read(made, "rollup")
     edges = []
     if head is not None and head != t_start:
         edges.append((t_start, head - 1))
     if tail is not None and (t_end is None or tail <= t_end):
         edges.append((tail, t_end))
     for a, b in edges:
-        raw = range_scan(points, a, b)
-        late = complete_through is not None and (t_end is None or b == t_end) and a == tail
-        part = downsample(raw, agg, interval, t_start if a == t_start else None, t_end, labels=late)
-        inner = inner.unionByName(part if late else part.withColumn("source", F.lit("raw")))
-    return inner
+        part = downsample(range_scan(points, a, b), agg, interval, t_start if a == t_start else None, labels=True)
+        made = made.unionByName(read(part, "points"))
+    return made
 
 
 __all__ = [
-    "STATE", "build_rollup", "coarsen", "contained", "first_order", "mark_complete", "read_rollup", "rollup_points",
-    "rollup_stats", "stitch",
+    "STATE", "build_rollup", "coarsen", "contained", "mark_complete", "read_rollup", "rollup_points", "rollup_stats",
+    "stitch", "stored_granularities",
 ]

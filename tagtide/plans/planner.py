@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagtide.operators.catalog import match_series, tag_condition
 from tagtide.operators.crossseries import cross_series, cross_sources, group_by_tag
 from tagtide.operators.downsample import RAW, auto_merge, downsample, range_aggregate
-from tagtide.operators.rollup import stitch
+from tagtide.operators.rollup import stitch, stored_granularities
 from tagtide.operators.scan import range_scan
 from tagtide.plans.spec import QuerySpec
 
@@ -20,13 +20,18 @@ def query(
     rollup: DataFrame | None = None,
     complete_through: int | None = None,
     diagnostics: bool = False,
+    stored: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Rows of (series_id, bucket_ts, value, source), with ``seq`` added for raw points and
-    ``series_sources`` for cross results when ``diagnostics`` is set.
+    """Rows of (series_id, bucket_ts, value, source), with ``seq`` added for raw points. ``diagnostics`` adds
+    ``series_sources`` to cross results (of a bounded number of series, see ``cross_sources``) and, with a rollup,
+    ``read`` to results per series: what each bucket was read from. ``stored`` names the granularities of the rollup;
+    without it a query over its granularity column finds them for the metric.
 
     Without a series dimension the tag condition runs on the points' own tags in the scan stage. With one,
     the dimension is filtered and semi-joined; its size decides between broadcast and shuffle, by Spark's
-    own threshold. A rollup answers whole buckets. No matching series gives no rows."""
+    own threshold. A rollup answers whole buckets; without one every bucket is read from points and labelled raw. No
+    matching series gives no rows. An aggregate without interval and without dimension learns from all points, whatever
+    their time, whether several series match; with a dimension it reads the range only."""
     if series is None:
         if rollup is not None or diagnostics:
             raise ValueError("rollups and diagnostics need the series dimension")
@@ -51,10 +56,15 @@ def query(
         keys = ("series_id", "tag_value")
         scan = scan.withColumn("tag_value", F.col("tags")[spec.group_by])
     if rollup is not None:
-        kept = rollup.where(F.col("metric") == spec.metric).join(ids, "series_id", "left_semi")
-        per = stitch(own, kept, spec.point_agg, spec.interval, spec.t_start, spec.t_end, complete_through)
+        held = rollup.where(F.col("metric") == spec.metric)
+        stored = stored_granularities(held) if stored is None else stored
+        kept = held.join(ids, "series_id", "left_semi")
+        reads = diagnostics and spec.cross_agg is None
+        per = stitch(
+            own, kept, spec.point_agg, spec.interval, spec.t_start, spec.t_end, complete_through, stored, reads
+        )
     else:
-        per = downsample(scan, spec.point_agg, spec.interval, spec.t_start, spec.t_end, labels=True, keys=keys)
+        per = downsample(scan, spec.point_agg, spec.interval, spec.t_start, labels=True, keys=keys)
     if spec.cross_agg is None:
         return per
     if spec.group_by is not None:

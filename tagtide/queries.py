@@ -10,15 +10,19 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagtide.functions.aggregates import AGGREGATES, register
+from tagtide.functions.columns import epoch_seconds
 from tagtide.operators import catalog, chunks, codec
-from tagtide.operators.crossseries import cross_sources, pooled
+from tagtide.operators.crossseries import cross_sources, missing_counts, pooled
 from tagtide.operators.downsample import downsample
 from tagtide.operators.result import query_stats
 from tagtide.operators.rollup import build_rollup, mark_complete, read_rollup, rollup_stats
 from tagtide.operators.scan import in_range, range_scan
 from tagtide.plans.planner import query
-from tagtide.plans.spec import GRANULARITIES, QuerySpec
-from tagtide.sources.tables import event_points, line_points, order_points, stored_points, table
+from tagtide.plans.spec import GRANULARITIES, QuerySpec, coarsest_within
+from tagtide.sources.tables import (
+    event_points, line_points, order_points, read_points, stored_points, table, wide_to_points, write_points,
+)
 
 #: Ranges of the tests: the middle of the events, misaligned at both ends, and the orders of two years.
 A, B = 1704071521, 1704931977
@@ -72,8 +76,6 @@ def round_sql(inner: str, cols: str = "series_id, bucket_ts") -> str:
 
 def source_sql(source: str, agg: str, interval: int, a: int, b: int) -> str:
     """Downsample with the label rule: wholly inside, divisible, all rollup rows present."""
-    from tagtide.plans.spec import coarsest_within
-
     g = coarsest_within(interval)
     if g is None or interval % g[1]:
         label = "'raw'"
@@ -304,12 +306,16 @@ add(
 )
 
 
+def from_rollup(points: DataFrame, spec: QuerySpec, names: tuple[str, ...] = (), **kwargs) -> DataFrame:
+    """The query over points and a rollup of them, of the coarsest fitting granularity if no names are given."""
+    names = names or (coarsest_within(spec.interval)[0],)
+    series = kwargs.pop("series", None) or catalog.series_dimension(points)
+    return query(points, spec, series, build_rollup(points, names), stored=tuple(names), **kwargs)
+
+
 def stitched(source, metric, agg, interval, a, b):
     def build(spark, d, e=source):
-        points = e(spark, d)
-        names = [g for g, w in GRANULARITIES.items() if w <= interval][-1:]
-        spec = QuerySpec(metric, {}, a, b, agg, interval)
-        out = query(points, spec, series=catalog.series_dimension(points), rollup=build_rollup(points, names))
+        out = from_rollup(e(spark, d), QuerySpec(metric, {}, a, b, agg, interval))
         return rounded(out).select("series_id", "bucket_ts", "value", "source")
 
     return build
@@ -320,7 +326,7 @@ add("rollup_stitch_last", stitched(event_points, E_METRIC, "last", 7200, A, B),
 add("rollup_stitch_lines", stitched(line_points, L_METRIC, "sum", 172800, OA + 5, OB), source_sql("l", "sum", 172800, OA + 5, OB))
 add(
     "bucket_sources",
-    lambda s, d: rounded(query(line_points(s, d), QuerySpec(L_METRIC, {}, OA, OB, "max", 259200))).select(
+    lambda s, d: rounded(from_rollup(line_points(s, d), QuerySpec(L_METRIC, {}, OA, OB, "max", 259200))).select(
         "series_id", "bucket_ts", "value", "source"
     ),
     source_sql("l", "max", 259200, OA, OB),
@@ -361,7 +367,7 @@ add(
 def order_sources(spark, d):
     points = order_points(spark, d)
     matched = catalog.match_series(catalog.series_dimension(points), O_METRIC)
-    per = query(points, QuerySpec(O_METRIC, {}, OA, OB, "sum", 86400 * 7), series=matched)
+    per = from_rollup(points, QuerySpec(O_METRIC, {}, OA, OB, "sum", 86400 * 7), series=matched)
     flat = cross_sources(per, matched).select("bucket_ts", F.explode("series_sources").alias("series_id", "source"))
     return flat.groupBy("bucket_ts").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat("series_id", F.lit(":"), "source"))), ";").alias("sources")
@@ -392,7 +398,9 @@ add(
 )
 add(
     "query_stats",
-    lambda s, d, e=event_points: query_stats(query(e(s, d), QuerySpec(E_METRIC, {}, A, B, "avg", 21600)), 21600),
+    lambda s, d, e=event_points: query_stats(
+        from_rollup(e(s, d), QuerySpec(E_METRIC, {}, A, B, "avg", 21600)), 21600, ("6h",)
+    ),
     f"""SELECT series_id, count(*) AS total_buckets, count(*) FILTER (source = 'raw') AS raw_buckets,
  count(*) FILTER (source = 'pre_agg:1') AS single_buckets, count(*) FILTER (source = 'pre_agg:n') AS merged_buckets,
  CAST(0 AS BIGINT) AS cross_buckets, '6h' AS source_granularity,
@@ -493,5 +501,108 @@ for name in ON_EVENTS:
  WHERE ts BETWEEN {A} AND {B} AND event_type = 'view' GROUP BY series_id) HAVING count(*) > 0"""
     add(f"{name}_by_user", partial(QUERIES[name], e=partial(event_points, with_user=True)), sql)
 
+# ---- rollups that hold some granularities only, and what buckets are read from
+add(
+    "rollup_stitch_partial_store",
+    lambda s, d: plain(from_rollup(event_points(s, d), QuerySpec(E_METRIC, {}, A, B, "sum", 21600), ("1m", "1h"))),
+    round_sql(down_sql("e", "sum", 21600, A, B)),
+)
+add(
+    "rollup_stitch_reads",
+    lambda s, d: from_rollup(event_points(s, d), QuerySpec(E_METRIC, {}, A, B, "count", 21600), diagnostics=True)
+    .groupBy("read").agg(F.count(F.lit(1)).alias("n_buckets"), F.sum("value").cast("bigint").alias("n_points")),
+    with_p("e", f"""SELECT CASE WHEN bucket >= {A} AND bucket + 21599 <= {B} THEN 'rollup' ELSE 'points' END AS read,
+ count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_points FROM (SELECT series_id, (ts // 21600) * 21600 AS bucket,
+ count(*) AS n FROM p WHERE ts BETWEEN {A} AND {B} GROUP BY ALL) GROUP BY 1"""),
+)
+FINAL_SQL = {a: AGG_SQL[a] for a in AGGS}
+for agg in AGGS:
+    add(
+        f"rollup_read_{agg}",
+        lambda s, d, agg=agg: plain(read_rollup(build_rollup(order_points(s, d), ["6h", "1d"]), "1d", agg, OA, OB)),
+        with_p("o", f"""SELECT series_id, bucket_ts, round(value, 6) AS value FROM (SELECT series_id,
+ (ts // 86400) * 86400 AS bucket_ts, {FINAL_SQL[agg]} AS value FROM p GROUP BY ALL)
+ WHERE bucket_ts >= {OA} AND bucket_ts + 86400 <= {OB}"""),
+    )
+
+
+def missing_orders(spark, d):
+    points = order_points(spark, d)
+    matched = catalog.match_series(catalog.series_dimension(points), O_METRIC)
+    return missing_counts(query(points, QuerySpec(O_METRIC, {}, OA, OB, "sum", 86400), series=matched), matched)
+
+
+add(
+    "cross_missing",
+    missing_orders,
+    with_p("o", f"""SELECT (ts // 86400) * 86400 AS bucket_ts, count(DISTINCT series_id) AS n_present,
+ (SELECT count(DISTINCT series_id) FROM p) - count(DISTINCT series_id) AS n_missing FROM p
+ WHERE ts BETWEEN {OA} AND {OB} GROUP BY 1""").replace("(ts // 86400) * 86400 AS", f"greatest((ts // 86400) * 86400, {OA}) AS"),
+)
+add(
+    "tags_of_series",
+    lambda s, d: catalog.tags_of_series(
+        catalog.series_dimension(order_points(s, d)), "orders.totalprice{o_orderpriority=1-URGENT,o_orderstatus=F}"
+    ).select("series_id", F.explode("tags").alias("tag_key", "tag_value")),
+    with_p("o", """SELECT DISTINCT series_id, unnest(['o_orderstatus', 'o_orderpriority']) AS tag_key,
+ unnest([o_orderstatus, o_orderpriority]) AS tag_value FROM p
+ WHERE series_id = 'orders.totalprice{o_orderpriority=1-URGENT,o_orderstatus=F}'"""),
+)
+
+
+def spread_by_day(spark, d):
+    """A registered aggregate beside the named ones: the range of the values of a bucket."""
+    if "spread" not in AGGREGATES:
+        register("spread", lambda v, o: F.max(v) - F.min(v), merge=lambda: F.max("max") - F.min("min"))
+    return plain(from_rollup(event_points(spark, d), QuerySpec(E_METRIC, {}, A, B, "spread", 86400)))
+
+
+add(
+    "register_aggregate",
+    spread_by_day,
+    with_p("e", f"""SELECT series_id, greatest((ts // 86400) * 86400, {A}) AS bucket_ts,
+ round(max(value) - min(value), 6) AS value FROM p WHERE ts BETWEEN {A} AND {B} GROUP BY ALL"""),
+)
+add(
+    "wide_points",
+    lambda s, d: wide_to_points(
+        table(s, d, "lineitem"), epoch_seconds(F.col("l_shipdate")), F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+        {"flag": F.col("l_returnflag")}, {"line.quantity": "l_quantity", "line.price": "l_extendedprice"},
+    ).groupBy("metric", "series_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.max("value").alias("max_value")
+    ),
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric, '{m}{{flag=' || l_returnflag || '}}' AS series_id, count(*) AS n_points,
+ min(epoch_us(l_shipdate) // 1000000) AS min_ts, max(epoch_us(l_shipdate) // 1000000) AS max_ts,
+ max(CAST({c} AS DOUBLE)) AS max_value FROM lineitem WHERE {c} IS NOT NULL GROUP BY l_returnflag"""
+        for m, c in (("line.quantity", "l_quantity"), ("line.price", "l_extendedprice"))
+    ),
+)
+add(
+    "value_codec_exact",
+    lambda s, d: codec.unseal(codec.seal(chunks.chunked(order_points(s, d)))).select("series_id", "ts", "value"),
+    with_p("o", "SELECT series_id, ts, value FROM p"),
+)
+add(
+    "storage_totals",
+    lambda s, d: chunks.ts_sizes(chunks.chunked(line_points(s, d))).agg(
+        F.sum("n_points").alias("n_points"), (F.sum("n_points") * chunks.RAW_POINT_BYTES).alias("raw_bytes"),
+        F.sum("ts_bytes").alias("ts_bytes"), F.count_distinct("series_id").alias("n_series"),
+    ),
+    f"""SELECT CAST(sum(n_points) AS BIGINT) AS n_points, CAST(sum(n_points) * 16 AS BIGINT) AS raw_bytes,
+ CAST(sum(ts_bytes) AS BIGINT) AS ts_bytes, count(DISTINCT series_id) AS n_series FROM ({SQL["ts_compressed_size"]})""",
+)
+
+
+def through_store(spark, d):
+    """Points written to a store partitioned by metric and day and read back through a pruned range scan."""
+    from tagtide.operators.blocks import shared_folder
+
+    where = f"{shared_folder(spark)}/store"
+    write_points(event_points(spark, d), where)
+    return plain(query(read_points(spark, where), QuerySpec(E_METRIC, {}, A, B, "avg", 1800)))
+
+
+add("store_roundtrip", through_store, round_sql(down_sql("e", "avg", 1800, A, B)))
 
 __all__ = ["QUERIES", "SQL", "Window", "in_range"]

@@ -73,15 +73,14 @@ def read_points(spark: SparkSession, path: str, form: str = "parquet", **options
     raise ValueError(f"unknown form {form!r}")
 
 
-def write_points(points: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
+def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
     """Store partitioned by (metric, day), sorted by series and time within files, so that range scans prune
-    partitions and row groups. ``files_per_day`` splits the rows of one metric and day by series hash, for
-    days too large for one task."""
+    partitions and row groups. Rows are rebalanced by metric and day: a day too large for one task is split by its
+    size in bytes, small days share tasks (adaptive execution, spark.sql.adaptive.advisoryPartitionSizeInBytes)."""
     day = F.floor(F.col("ts") / F.lit(DAY_S)).cast("bigint")
-    salt = F.pmod(F.xxhash64("series_id", "seq"), F.lit(int(files_per_day)))
     (
         points.withColumn("day", day)
-        .repartition("metric", "day", salt)
+        .hint("rebalance", F.col("metric"), F.col("day"))
         .sortWithinPartitions("metric", "day", "series_id", "ts")
         .write.mode(mode)
         .partitionBy("metric", "day")

@@ -34,13 +34,13 @@ def run(spark, rows, interval, agg, a, b, **kw):
     g = coarsest_within(interval)
     rollup = build_rollup(p, [g[0]]) if g else None
     direct = query(p, QuerySpec("cpu", {}, B + a, B + b, agg, interval, **kw))
-    stitched = query(p, QuerySpec("cpu", {}, B + a, B + b, agg, interval, **kw), series=series, rollup=rollup)
+    stitched = query(p, QuerySpec("cpu", {}, B + a, B + b, agg, interval, **kw), series, rollup, stored=g and (g[0],))
     one = [(t - B, v, s) for t, v, s in collect(direct, "bucket_ts", "value", "source")]
     two = [(t - B, v, s) for t, v, s in collect(stitched, "bucket_ts", "value", "source")]
-    assert [(x[0], x[2]) for x in one] == [(x[0], x[2]) for x in two]
+    assert [x[0] for x in one] == [x[0] for x in two] and all(x[2] == "raw" for x in one)
     assert [x[1] for x in one] == pytest.approx([x[1] for x in two], abs=1e-9)
     assert all(a <= t <= b for t, _, _ in one)
-    return one
+    return two
 
 
 CASES = [
@@ -120,7 +120,8 @@ def test_missing_series_and_sources(spark):
     rows = [(tags("full"), i * 10, 10) for i in range(720)] + [(tags("partial-early"), i * 10, 20) for i in range(180)]
     rows += [(tags("partial-late"), 3600 + i * 10, 30) for i in range(180)] + [(tags("sparse"), i, 100) for i in range(10)]
     p = make(spark, rows)
-    df = query(p, QuerySpec("cpu", {}, B, B + 7199, "avg", 1800, "avg"), catalog.series_dimension(p), diagnostics=True)
+    rollup = build_rollup(p, ["15m"])
+    df = query(p, QuerySpec("cpu", {}, B, B + 7199, "avg", 1800, "avg"), catalog.series_dimension(p), rollup, diagnostics=True)
     got = collect(df, "bucket_ts", "value", "series_sources")
     assert [g[1] for g in got] == pytest.approx([43.333333333333336, 10.0, 20.0, 10.0])
     short = {k.split("=")[1].split(",")[0]: v for k, v in got[0][2].items()}
@@ -203,7 +204,8 @@ def test_incomplete_rollups_use_points(spark):
     early = make(spark, rows[:400])
     out = query(p, QuerySpec("cpu", {}, B, B + 7199, "sum", 1800), catalog.series_dimension(p), build_rollup(early, ["15m"]), complete_through=B + 3599)
     want = query(p, QuerySpec("cpu", {}, B, B + 7199, "sum", 1800))
-    assert sorted((r.bucket_ts, r.value, r.source) for r in out.collect()) == sorted((r.bucket_ts, r.value, r.source) for r in want.collect())
+    assert sorted((r.bucket_ts, r.value) for r in out.collect()) == sorted((r.bucket_ts, r.value) for r in want.collect())
+    assert [r.source for r in out.orderBy("bucket_ts").collect()] == ["pre_agg:n"] * 2 + ["raw"] * 2
 
 
 def test_null_times_and_values_are_no_points(spark):
@@ -220,3 +222,90 @@ def test_known_keys_give_the_same_ids(spark):
     made = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)])
     rows = df.select(series_id_of("m", tags).alias("a"), series_id(F.lit("m"), made).alias("b")).collect()
     assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) == 3
+
+
+def test_order_keys():
+    from pyspark.sql import SparkSession
+
+    from tagtide.functions.columns import ORDER_SPAN, order_key, order_offset, order_seq
+
+    spark = SparkSession.getActiveSession()
+    rows = [(o, s) for o in (0, 1, 86399, ORDER_SPAN - 1) for s in (-(2**63) + 1, -1, 0, 5, 2**63 - 1)] + [(7, None)]
+    key = order_key(F.col("o"), F.col("s"))
+    got = spark.createDataFrame(rows, "o long, s long").select("o", "s", key.alias("k"))
+    back = got.select("o", "s", order_offset(F.col("k")).alias("o2"), order_seq(F.col("k")).alias("s2")).collect()
+    assert all(r.o == r.o2 and r.s == r.s2 for r in back)
+    ordered = [(r.o, r.s) for r in got.orderBy("k").collect()]
+    assert ordered == sorted(rows, key=lambda r: (r[0], -(2**64) if r[1] is None else r[1]))
+
+
+SUBSETS = [("1m",), ("5m",), ("15m",), ("1h",), ("6h",), ("1m", "1h"), ("5m", "6h"), ("1m", "5m", "15m", "1h", "6h", "1d"), ("1h", "1d")]
+
+
+@pytest.mark.parametrize("stored", SUBSETS)
+@pytest.mark.parametrize("given", [True, False])
+def test_stitching_uses_what_is_stored(spark, stored, given):
+    p = make(spark, gauss({"host": "a"}, 8640) + line({"host": "b"}, 700, 5, 1, step=97))
+    s, rollup = catalog.series_dimension(p), build_rollup(p, stored)
+    for agg in ("sum", "last", "first"):
+        spec = QuerySpec("cpu", {}, B + 3737, B + 79_000, agg, 21600)
+        out = query(p, spec, s, rollup, stored=stored if given else None, diagnostics=True).collect()
+        want = {(r.series_id, r.bucket_ts): r.value for r in query(p, spec).collect()}
+        assert {(r.series_id, r.bucket_ts): pytest.approx(r.value) for r in out} == want and len(want) > 5
+        assert {r.read for r in out} == {"rollup", "points"}
+        # bucket 21600 of host a is whole in every store
+        label = {r.source for r in out if "host=a" in r.series_id and r.bucket_ts == B + 21600}
+        assert label == {"pre_agg:1" if "6h" in stored else "pre_agg:n"}
+
+
+def test_stitching_without_a_fitting_granularity(spark):
+    p = make(spark, line({"host": "a"}, 3000, 5, 1))
+    s = catalog.series_dimension(p)
+    for stored in (None, ("1d",)):
+        with pytest.raises(ValueError):
+            query(p, QuerySpec("cpu", {}, B, B + 29_999, "sum", 21600), s, build_rollup(p, ["1d"]), stored=stored)
+    spec = QuerySpec("cpu", {}, B, B + 29_999, "sum", 3600)
+    want = sorted(map(tuple, query(p, spec).collect()))
+    none = build_rollup(p, ["1h"]).where("false")  # a store without rows of the metric leaves all to the points
+    assert sorted(map(tuple, query(p, spec, s, none).collect())) == want
+    odd = QuerySpec("cpu", {}, B, B + 29_999, "sum", 5400)  # no coarsest granularity divides it: points, as ever
+    assert {r.source for r in query(p, odd, s, build_rollup(p, ["1d"])).collect()} == {"raw"}
+
+
+def test_many_series_need_the_long_form(spark):
+    from tagtide.operators.crossseries import cross_sources, missing_counts
+
+    p = make(spark, line({"host": "a"}, 20, 5, 1) + line({"host": "b"}, 400, 5, 1))
+    s = catalog.series_dimension(p)
+    per = query(p, QuerySpec("cpu", {}, B, B + 9999, "sum", 60), s)
+    assert {r.n_missing for r in missing_counts(per, s).collect()} == {0, 1}
+    assert all(len(r.series_sources) == 2 for r in cross_sources(per, s, limit=2).collect())
+    with pytest.raises(Exception, match="more than 1 series"):
+        cross_sources(per, s, limit=1).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tagtide.operators import blocks
+
+    assert blocks._local_folder("local[4]").startswith("file:") and blocks._local_folder("local").startswith("file:")
+    for master in ("local-cluster[3,2,1024]", "spark://h:7077", "yarn", "k8s://https://h"):
+        with pytest.raises(ValueError):
+            blocks._local_folder(master)
+
+
+def test_written_tables_are_released(spark):
+    from tagtide.operators.blocks import release, written
+
+    release(spark)
+    made = written(spark.range(5))
+    assert made.count() == 5 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        made.count()
+
+
+def test_too_many_series_raise(spark):
+    from tagtide.operators.result import nested
+
+    p = make(spark, line({"host": "a"}, 1, 5, 1) + line({"host": "b"}, 1, 5, 1))
+    with pytest.raises(ValueError, match="series"):
+        nested(query(p, QuerySpec("cpu", {"host": "a"})), catalog.series_dimension(p), limit=1)

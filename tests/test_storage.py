@@ -98,7 +98,7 @@ def test_wide_rows(spark):
 def test_result_objects(spark):
     p = make(spark, line({"h": "a"}, 50, 0, 1) + line({"h": "b"}, 1, 0, 1, start=99_999))
     spec = QuerySpec("cpu", {}, B, B + 499, "avg", 60)
-    out = query(p, spec)
+    out = query(p, spec, series_dimension(p), build_rollup(p, ["1m"]))
     shown = nested(out, series_dimension(p))
     assert [s.series_id for s in shown] == ["cpu{h=a}", "cpu{h=b}"] and shown[1].points == []
     assert "+4 more" in repr(shown[0])
