@@ -1,37 +1,46 @@
 """Implausible readings of gauge series: spikes, stuck stretches and values beyond the physical limits.
 
-Readings are gathered into blocks of BLOCK_PERIODS nominal periods of one series. Each block fits a robust
-autoregression of order one to its deviations from a running median; sums of the blocks give one model per series
-(coefficient, scatter of successive differences, share of unchanged neighbours). The model and the last and first
-readings of the blocks around go back to every block, so tests at block borders see what an uncut series would show.
-In a block readings beyond the limits are set aside, then additive outliers are looked for again and again: the
-size of an outlier at t is estimated from the residuals at t and t + 1; where the medians before and after differ by
-much of that size the level has shifted and nothing is flagged; what is flagged is replaced by the running level and
-the residuals are computed anew, until none is left. A flagged reading must lie more than SPIKE_SCATTERS scatters off
-the level cleaned in this way, in a row of at most FEW. A stretch of STUCK_RUN or more readings with one value is
-flagged as a whole in a series most of whose other readings change.
+Readings are sorted over all tasks by (series, time, value) and cut into blocks of at most BLOCK_READINGS readings of
+one series; copies lie side by side then and are dropped. The order has a salt of the write order behind it, so even
+copies of one reading spread over tasks. Each block fits a robust autoregression of order one to its deviations from a
+running median; sums of the blocks give one model per series (coefficient, scatter of successive differences, share of
+unchanged neighbours). The model and the last and first readings of the blocks around go back to every block, so tests
+at block borders see what an uncut series would show.
+
+In a block readings beyond the limits are set aside. The residuals e[t] = u[t] - phi u[t-1] of the deviations u from the
+level then show what happened: an additive outlier of size w over L readings leaves w, (L - 1) times (1 - phi) w and
+-phi w in them, a lasting shift w and (1 - phi) w ever after. Both are estimated by least squares at every reading, for
+all L up to FEW, and compared by their statistics against the scatter of the residuals. The strongest effects are taken
+first: an outlier is flagged and replaced by what the model expects between its neighbours, a shift is taken out of
+the level; then residuals are computed anew, until no effect larger than the bound is left. The bound is
+SPIKE_SCATTERS times the usual scatter; each flagged reading must lie that far from what the model expects in its
+place, in a row of at most FEW. A stretch of STUCK_RUN or more readings with one value is flagged as a whole in a
+series most of whose other readings change.
 
 No task holds more than one batch of blocks; the window over a series sees one row of bounded size per block.
 
 Defined cases: rows with a null series, time or value and NaN are no readings; copies count once; infinite values
 lie beyond a limit if the metric has one there, else they are spikes; readings of one time are taken in order of
-value, and one that only corrects another does not end a stretch; a metric without limits or interval has no limit
-cases or blocks of one day; series without scatter have no spikes; short series (under five readings) are only
+value, and one that only corrects another does not end a stretch; a metric without limits has no limit cases; its
+interval does not matter; series without scatter have no spikes; short series (under five readings) are only
 tested against limits; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtide.functions.columns import DAY_S
 from tagtide.operators.blocks import written
 from tagtide.operators.readings import KEY, of_kind, series_key, series_names
 
-BLOCK_PERIODS = 512
+BLOCK_READINGS = 512
 #: Readings of the neighbouring blocks that a block sees on each side, and how many blocks they may come from.
 #: Every block holds at least one reading, so STUCK_RUN blocks always reach far enough for a stretch.
 CONTEXT = 32
@@ -39,21 +48,62 @@ SPIKE_SCATTERS = 10.0
 STUCK_RUN = 12
 FEW = 5
 WINDOW = 31
-ROUNDS = 8
+#: Readings over which a lasting shift is estimated, and least ratio of an effect's statistic to the residuals' scatter.
+SHIFT_READINGS = 2 * FEW + 1
+CRITICAL = 4.0
+#: Parts into which copies of one reading may be spread.
+SALTS = 4096
+BLOCK = "k1 bigint, k2 bigint, block bigint, rs array<struct<ts:bigint,value:double,broken:boolean>>"
+
+
+def _cut(batches):
+    """Sorted rows to blocks. Copies of a reading in one task are dropped; block ids ascend in the order of the sort."""
+    first = TaskContext.get().partitionId() << 32
+    held: list[np.ndarray] | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = cols if held is None else [np.concatenate(pair) for pair in zip(held, cols)]
+        else:
+            cols = held
+        if cols is None or not len(cols[0]):
+            continue
+        k1, k2, ts, value, _ = cols
+        fresh = np.ones(len(k1), bool)
+        fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        keep = fresh.copy()
+        keep[1:] |= (ts[1:] != ts[:-1]) | (value[1:] != value[:-1])
+        k1, k2, ts, value, broken = cols = [c[keep] for c in cols]
+        starts = np.flatnonzero(fresh[keep])
+        place = np.arange(len(k1)) - np.repeat(starts, np.diff(np.append(starts, len(k1))))
+        at = np.flatnonzero(place % BLOCK_READINGS == 0)
+        # the last block may go on in the next batch
+        end = len(k1) if batch is None else int(at[-1])
+        at = at if batch is None else at[:-1]
+        held = [c[end:] for c in cols]
+        if not len(at):
+            continue
+        rs = pa.StructArray.from_arrays([pa.array(c[:end]) for c in (ts, value, broken)], ["ts", "value", "broken"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, end), pa.int32()), rs)
+        ids = pa.array(first + np.arange(len(at)))
+        first += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), ids, lists], ["k1", "k2", "block", "rs"])
 
 
 def reading_blocks(points: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(k1, k2, block, rs): distinct readings of a block in order of (ts, value) with a flag for broken limits."""
+    """(k1, k2, block, rs): at most BLOCK_READINGS distinct readings of a series in order of (ts, value), with a flag for
+    broken limits. Blocks ascend along a series. Only copies that lie in different tasks are left, where a block
+    begins with the last reading of the one before."""
     rows = of_kind(points, catalog, "gauge")
-    width = F.when(F.col("interval_s") > 0, F.col("interval_s") * BLOCK_PERIODS).otherwise(F.lit(DAY_S))
-    block = F.floor((F.col("ts") - F.pmod("ts", width)) / width).cast("bigint")
     broken = F.coalesce(F.col("value") < F.col("low_limit"), F.lit(False)) | F.coalesce(
         F.col("value") > F.col("high_limit"), F.lit(False)
     )
-    one = rows.select(
-        *series_key(F.col("series_id")), block.alias("block"), "ts", "value", broken.alias("broken")
-    ).distinct()
-    return one.groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("ts", "value", "broken"))).alias("rs"))
+    salt = F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int") if "seq" in rows.columns else F.lit(0)
+    placed = rows.select(
+        *series_key(F.col("series_id")), "ts", (F.col("value") + 0.0).alias("value"), broken.alias("broken"), salt.alias("salt")
+    ).repartitionByRange(*KEY, "ts", "value", "salt")
+    ordered = placed.drop("salt").sortWithinPartitions(*KEY, "ts", "value")
+    return ordered.mapInArrow(_cut, BLOCK)
 
 
 def running_median(y: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -145,40 +195,82 @@ def series_models(blocks: DataFrame, around: DataFrame) -> DataFrame:
     )
 
 
+def bridged(u: np.ndarray, gone: np.ndarray, phi: float) -> np.ndarray:
+    """Deviations with those that are gone replaced by what the autoregression expects between their neighbours."""
+    out = u.copy()
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        k, m = np.arange(1, b - a + 1), b - a + 1
+        left = u[a - 1] if a else 0.0
+        right = u[b] if b < len(u) else 0.0
+        if not a or b == len(u):
+            out[a:b] = phi**k * left + phi ** (m - k) * right
+        else:
+            from_left, from_right = phi**k * (1 - phi ** (2 * (m - k))), phi ** (m - k) * (1 - phi ** (2 * k))
+            out[a:b] = (from_left * left + from_right * right) / (1 - phi ** (2 * m))
+    return out
+
+
+def effects(e: np.ndarray, phi: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, size, statistic) of the strongest effect that begins at each reading, from the residuals: an outlier of
+    1 to FEW readings, or 0 for a lasting shift. Least squares on the pattern each effect leaves."""
+    n = len(e)
+    total = np.concatenate([[0.0], np.cumsum(e)])
+    at = np.arange(n)
+    upto = lambda length: total[np.minimum(at + length, n)] - total[np.minimum(at + 1, n)]
+    fade = 1 - phi
+    seen = np.minimum(n - at, SHIFT_READINGS)
+    norm = 1 + (seen - 1) * fade * fade
+    dot = e + fade * upto(SHIFT_READINGS)
+    kind, size, stat = np.zeros(n, np.int64), dot / norm, np.abs(dot) / np.sqrt(norm)
+    for length in range(1, FEW + 1):
+        norm = 1 + (length - 1) * fade * fade + phi * phi
+        after = np.zeros(n)
+        after[: n - length] = e[length:]
+        dot = e + fade * upto(length) - phi * after
+        now = np.abs(dot) / np.sqrt(norm)
+        better = (now > stat) & (at + length < n)
+        kind[better], size[better], stat[better] = length, (dot / norm)[better], now[better]
+    return kind, size, stat
+
+
 def outliers(y: np.ndarray, phi: float, usual: float, limit: float = SPIKE_SCATTERS) -> np.ndarray:
-    """Additive outliers of a stretch of readings, tested round by round against level shifts."""
+    """Flags of additive outliers of a stretch of readings, told from level shifts by their effects on the residuals."""
     n = len(y)
     flags = np.zeros(n, bool)
     if n < 5 or not usual > 0:
         return flags
-    work = np.where(np.isfinite(y), y, np.sign(y) * 1e300)
-    y = work.copy()
+    y = np.where(np.isfinite(y), y, np.sign(y) * 1e300)
     local = scatter(y) if n >= 2 * WINDOW else usual
     bound = limit * max(local, 0.6 * usual)
-    damp = 1 + phi * phi
-    for _ in range(ROUNDS):
+    work, shifts, shifted = y.copy(), np.zeros(n), np.zeros(n, bool)
+    while True:
         level = running_median(work)
-        u = work - level
+        u = bridged(work - level, flags, phi)
         e = u.copy()
         e[1:] -= phi * u[:-1]
-        after = np.append(e[1:], 0.0)
-        size = (e - phi * after) / damp
-        near = np.flatnonzero((np.abs(size) > 0.5 * bound) & (np.abs(u) > bound) & ~flags)
-        fresh = []
-        for t in near:
-            before = work[max(0, t - 11) : t]
-            behind = work[t + 1 : t + 2 * FEW + 2]
-            if not len(before) or not len(behind):
+        kind, size, stat = effects(e, phi)
+        noise = 1.4826 * np.median(np.abs(e))
+        strong = np.flatnonzero((np.abs(size) > bound) & (stat > CRITICAL * noise))
+        taken = []
+        for t in strong[np.argsort(-stat[strong], kind="stable")].tolist():
+            if any(abs(t - o) <= SHIFT_READINGS for o in taken):
                 continue
-            shift = np.median(behind) - np.median(before)
-            if abs(shift) < 0.5 * abs(u[t]) or shift * u[t] < 0:
-                fresh.append(t)
-        if not fresh:
+            span = slice(t, t + kind[t])
+            if flags[span].all() if kind[t] else shifted[t]:
+                continue
+            taken.append(t)
+            if kind[t]:
+                flags[span] = True
+            else:
+                shifted[t] = True
+                shifts[t:] += size[t]
+                work[t:] -= size[t]
+        if not taken:
             break
-        flags[fresh] = True
-        work[fresh] = level[fresh]
-    level = running_median(work)
-    flags &= np.abs(y - level) > bound
+        work = np.where(flags, level + bridged(u, flags, phi), work)
+    expected = level + bridged(work - level, flags, phi) + shifts
+    flags &= np.abs(y - expected) > bound
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     for a, b in zip(edges[::2], edges[1::2]):
         if b - a > FEW or b == n or a == 0:
@@ -204,15 +296,18 @@ def _flagged(batches):
     for batch in batches:
         out: dict[str, list] = {"series_id": [], "ts": [], "value": [], "reason": []}
         for r in batch.itertuples(index=False):
-            a, n = len(r.b_ts), len(r.ts)
+            own = np.repeat([False, True, False], [len(r.b_ts), len(r.ts), len(r.a_ts)])
             ts = np.concatenate([r.b_ts, r.ts, r.a_ts]).astype(np.int64)
             value = np.concatenate([r.b_value, r.value, r.a_value]).astype(float)
             broken = np.concatenate([r.b_broken, r.broken, r.a_broken]).astype(bool)
-            marks = judge(ts, value, broken, r.phi, r.usual, r.same_share)[a : a + n]
-            at = np.flatnonzero(marks)
+            once = np.ones(len(ts), bool)
+            once[1:] = (ts[1:] != ts[:-1]) | (value[1:] != value[:-1])
+            ts, value, broken, own = ts[once], value[once], broken[once], own[once]
+            marks = judge(ts, value, broken, r.phi, r.usual, r.same_share)
+            at = np.flatnonzero((marks > 0) & own)
             out["series_id"] += [r.series_id] * len(at)
-            out["ts"] += ts[a + at].tolist()
-            out["value"] += value[a + at].tolist()
+            out["ts"] += ts[at].tolist()
+            out["value"] += value[at].tolist()
             out["reason"] += [REASONS[m] for m in marks[at]]
         if out["ts"]:
             yield pd.DataFrame(out)
@@ -221,10 +316,13 @@ def _flagged(batches):
 def contexts(blocks: DataFrame) -> DataFrame:
     """(k1, k2, block, own, head, b, a): size and first readings of a block, readings before and after it."""
     last = lambda rs: F.slice(rs, F.greatest(F.lit(1), F.size(rs) - CONTEXT + 1), F.lit(CONTEXT))
+    order = Window.partitionBy(*KEY).orderBy("block")
     ends = blocks.select(
         *KEY, "block", F.size("rs").alias("own"), F.slice("rs", 1, CONTEXT).alias("head"), last("rs").alias("tail")
     )
-    order = Window.partitionBy(*KEY).orderBy("block")
+    # a block of nothing but another copy of the reading before it does not count
+    copy = (F.col("own") == 1) & F.col("head")[0].eqNullSafe(F.try_element_at(F.lag("tail").over(order), F.lit(-1)))
+    ends = ends.withColumn("copy", copy).where(~F.col("copy"))
     before = F.flatten(F.collect_list("tail").over(order.rowsBetween(-STUCK_RUN, -1)))
     after = F.flatten(F.collect_list("head").over(order.rowsBetween(1, STUCK_RUN)))
     wide = ends.select(*KEY, "block", "own", "head", before.alias("b"), F.slice(after, 1, CONTEXT).alias("a"))

@@ -188,8 +188,8 @@ def test_stuck_run_over_many_sparse_blocks(spark):
     v = noisy(n, 4)
     v[20:33] = 49.5
     v[40:51] = 48.5  # eleven only
-    got = flagged(spark, {"free{}": [(i * 60 * spikes.BLOCK_PERIODS, x) for i, x in enumerate(v)]})
-    assert got == {("free{}", i * 60 * spikes.BLOCK_PERIODS, "stuck") for i in range(20, 33)}
+    got = flagged(spark, {"free{}": [(i * 60 * spikes.BLOCK_READINGS, x) for i, x in enumerate(v)]})
+    assert got == {("free{}", i * 60 * spikes.BLOCK_READINGS, "stuck") for i in range(20, 33)}
 
 
 def test_corrections_do_not_end_a_stretch(spark):
@@ -259,3 +259,64 @@ def test_spikes_of_a_gauge_that_mostly_repeats():
     y[[90, 250, 251]] = [60.0, -30.0, -31.0]
     assert np.flatnonzero(spikes.outliers(y, 0.0, spikes.scatter(y))).tolist() == [90, 250, 251]
     assert spikes.scatter(np.full(50, 3.0)) == 0
+
+
+def autoregressive(n, phi, seed):
+    rng = np.random.default_rng(seed)
+    u = np.zeros(n)
+    for i in range(1, n):
+        u[i] = phi * u[i - 1] + rng.normal()
+    return u
+
+
+def test_the_autoregression_decides():
+    """Spikes of thirteen scatters in a strongly correlated series: with the fitted coefficient they are seen against
+    what their neighbours let expect; without one, wandering hides some of them from a level of the readings around."""
+    n, at = 6000, np.arange(40, 5960, 37)
+    y = 100 + autoregressive(n, 0.95, 3)
+    usual = spikes.scatter(y)
+    y[at] += np.random.default_rng(4).choice([-1, 1], len(at)) * 13 * usual
+    fitted, none = (np.flatnonzero(spikes.outliers(y, phi, usual)).tolist() for phi in (0.95, 0.0))
+    assert fitted == at.tolist()
+    assert len(none) < len(at) - 10
+
+
+def test_lasting_shifts_and_plateaus_are_no_spikes():
+    rng = np.random.default_rng(8)
+    for length in (6, 8, 11, 15, 40):
+        y = rng.normal(50, 1, 600)
+        y[300 : 300 + length] += 30
+        assert not spikes.outliers(y, 0.2, 1.0).any(), length
+    for length in (1, 2, 3, 4, 5):
+        y = rng.normal(50, 1, 600)
+        y[300 : 300 + length] += 30
+        assert np.flatnonzero(spikes.outliers(y, 0.2, 1.0)).tolist() == list(range(300, 300 + length)), length
+    y = rng.normal(50, 1, 600)
+    y[300:] += 30
+    y[303] += 40
+    assert np.flatnonzero(spikes.outliers(y, 0.2, 1.0)).tolist() == [303]
+    many = rng.normal(50, 1, 3000)
+    many[10:2990:9] += 25
+    assert len(np.flatnonzero(spikes.outliers(many, 0.1, spikes.scatter(many)))) == len(range(10, 2990, 9))
+
+
+def test_blocks_are_bounded_by_readings(spark):
+    """300,000 readings in one minute of a gauge of one minute, and 50,000 copies of one reading."""
+    rng = np.random.default_rng(2)
+    hot = spark.range(300_000).select(
+        F.lit("x").alias("metric"), F.lit("free{hot}").alias("series_id"), (F.col("id") % 60).alias("ts"),
+        (F.hash("id") / 1e9 + 50).alias("value"), F.col("id").alias("seq"),
+    )
+    copies = spark.range(50_000).select(
+        F.lit("x").alias("metric"), F.lit("free{copies}").alias("series_id"), F.lit(600).cast("long").alias("ts"),
+        F.lit(50.5).alias("value"), (F.col("id") + 1_000_000).alias("seq"),
+    )
+    around = [("x", "free{copies}", 60 * i, float(v), 2_000_000 + i) for i, v in enumerate(np.round(rng.normal(50, 1, 40), 3)) if i != 10]
+    around[30] = ("x", "free{copies}", around[30][2], 90.0, 3_000_000)
+    p = hot.unionByName(copies).unionByName(spark.createDataFrame(around, "metric string, series_id string, ts long, value double, seq long"))
+    blocks = spikes.reading_blocks(p, catalog(spark))
+    sizes = blocks.select(F.max(F.size("rs")).alias("most"), F.sum(F.size("rs")).alias("n"), F.count(F.lit(1)).alias("blocks")).first()
+    assert sizes.most <= spikes.BLOCK_READINGS and sizes.blocks >= 300_000 / spikes.BLOCK_READINGS
+    assert 300_040 <= sizes.n < 300_040 + 20 or sizes.n == 300_040 - (300_000 - hot.select("ts", "value").distinct().count())
+    got = [r.ts for r in spikes.implausible(p, catalog(spark)).where("series_id = 'free{copies}'").collect()]
+    assert got == [around[30][2]]
