@@ -151,7 +151,7 @@ def long_runs(ts: np.ndarray, v: np.ndarray, least: int = STUCK_RUN) -> np.ndarr
     return flags
 
 
-MODEL_SUMS = ["n", "scatter_n", "sxx", "sxy", "pairs", "same"]
+MODEL_SUMS = ["n", "scatter_n", "sxx", "sxy", "pairs", "same", "stretches"]
 
 
 def _block_sums(batches):
@@ -164,7 +164,8 @@ def _block_sums(batches):
             ts, y = np.asarray(ts)[good], np.asarray(value)[good]
             stuck = long_runs(ts, y)
             pairs = ~(stuck[1:] & stuck[:-1])
-            moves = (part * pairs.sum(), part * ((y[1:] == y[:-1]) & pairs).sum())
+            ends = stuck & np.append((y[1:] != y[:-1]) | ~stuck[1:], True)[: len(y)]
+            moves = (part * pairs.sum(), part * ((y[1:] == y[:-1]) & pairs).sum(), part * ends.sum())
             free = y[~stuck]
             if len(free) < 5:
                 out.append((k1, k2, 0.0, 0.0, 0.0, 0.0, *moves))
@@ -178,7 +179,8 @@ def _block_sums(batches):
 
 
 def series_models(blocks: DataFrame, around: DataFrame) -> DataFrame:
-    """(k1, k2, phi, usual, same_share) per series. Blocks of up to CONTEXT readings are seen with the readings around
+    """(k1, k2, phi, usual, same_share) per series. A series that changes no more often outside its stretches of one
+    value than it has stretches is constant by nature, its share is 1. Blocks of up to CONTEXT readings are seen with the readings around
     them, so sparse series have a model too."""
     long = blocks.where(F.size("rs") > CONTEXT).select(*KEY, F.size("rs").alias("own"), "rs")
     short = around.where(F.col("own") <= CONTEXT).select(*KEY, "own", F.concat("b", "head", "a").alias("rs"))
@@ -191,7 +193,9 @@ def series_models(blocks: DataFrame, around: DataFrame) -> DataFrame:
         *KEY,
         phi.alias("phi"),
         F.coalesce(F.try_divide("scatter_n", "n"), F.lit(0.0)).alias("usual"),
-        F.coalesce(F.try_divide("same", "pairs"), F.lit(1.0)).alias("same_share"),
+        F.when(F.col("pairs") - F.col("same") > F.col("stretches"), F.try_divide("same", "pairs"))
+        .otherwise(F.lit(1.0))
+        .alias("same_share"),
     )
 
 
