@@ -4,12 +4,17 @@ One value per slot is kept (the latest reading, of equal times the one written l
 readings need no separate pass. Slots are gathered into blocks of consecutive slots, at most BLOCK_SLOTS of one
 series, so no task ever holds a whole series. Per series a harmonic regression (level, trend, two harmonics of
 the day) is fitted from normal equations, summed with partial aggregation; only one row of sums per series is
-solved, in batches. A missing slot gets the model's value plus the residuals of the readings at both ends of the
-gap, bridged linearly in time.
+solved, in batches. A missing slot gets the model's value plus the residuals at both ends of the gap, bridged
+linearly in time; the residual of an end is the median over the END_SLOTS slots next to it that hold a reading, since
+that of a single one is mostly noise.
+
+The blocks are aggregated by one shuffle of slots and one of blocks. The latter serves all that reads them: the ends
+of blocks, the normal equations and the join of blocks with their models; nothing is written in between.
 
 Defined cases: rows with a null series, time or value and NaN are no readings; readings outside the metric's
 limits or infinite stand in the grid as they are but neither shape the fit nor bridge a gap (then the other
-end's residual is used, or none); a gap whose ends lie more than ``off_after`` seconds apart is off time and
+end's residual is used, or none); of readings with one time and no write order that with the greater hash of its
+value is the latest; a gap whose ends lie more than ``off_after`` seconds apart is off time and
 gives no rows; a series of one slot gives one row; metrics without an interval give none; an empty table gives
 no rows; other columns are ignored.
 """
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtide.operators.blocks import written
+from tagtide.functions.columns import ORDER_SPAN, order_key
 from tagtide.operators.readings import KEY, of_kind, series_key, series_names
 
 BLOCK_SLOTS = 512
@@ -31,6 +36,8 @@ OFF_AFTER_S = 7 * 86_400
 FEATURES = ("one", "t", "c1", "s1", "c2", "s2")
 COEFFICIENTS = [f"b_{f}" for f in FEATURES]
 RIDGE = 1e-3
+#: Slots on each side of a gap whose readings give the residual there.
+END_SLOTS = 8
 
 
 def features(start_s: Column) -> dict[str, Column]:
@@ -49,17 +56,22 @@ def features(start_s: Column) -> dict[str, Column]:
 def slot_blocks(points: DataFrame, catalog: DataFrame) -> DataFrame:
     """(k1, k2, interval_s, block, slots) with slots an ordered array of (slot, value, ok), one per slot that
     holds a reading."""
-    rows = of_kind(points, catalog, "gauge").where(F.col("interval_s") > 0)
-    slot = F.floor((F.col("ts") - F.pmod("ts", "interval_s")) / F.col("interval_s")).cast("bigint")
+    rows = of_kind(points, catalog, "gauge").where((F.col("interval_s") > 0) & (F.col("interval_s") < ORDER_SPAN))
+    within = F.pmod("ts", "interval_s")
     fits = (
         F.coalesce(F.col("value") >= F.col("low_limit"), F.lit(True))
         & F.coalesce(F.col("value") <= F.col("high_limit"), F.lit(True))
         & (F.abs("value") < float("inf"))
     )
-    latest = F.max_by(F.struct("value", fits.alias("ok")), F.struct("ts", "seq", "value"))
-    slots = rows.groupBy(*series_key(F.col("series_id")), "interval_s", slot.alias("slot")).agg(latest.alias("v"))
+    written = F.xxhash64("value")
+    latest = order_key(within, F.coalesce("seq", written) if "seq" in rows.columns else written)
+    slot = F.floor((F.col("ts") - within) / F.col("interval_s")).cast("bigint")
+    slots = rows.groupBy(*series_key(F.col("series_id")), "interval_s", slot.alias("slot")).agg(
+        F.max_by("value", latest).alias("value"), F.max_by(fits, latest).alias("ok")
+    )
     return (
-        slots.select(*KEY, "interval_s", F.floor(F.col("slot") / BLOCK_SLOTS).cast("bigint").alias("block"), "slot", "v.*")
+        slots.withColumn("block", F.floor(F.col("slot") / BLOCK_SLOTS).cast("bigint"))
+        .where(F.col("block").isNotNull())  # said here, so the join that implies it reads the same shuffle
         .groupBy(*KEY, "interval_s", "block")
         .agg(F.array_sort(F.collect_list(F.struct("slot", "value", "ok"))).alias("slots"))
     )
@@ -125,57 +137,83 @@ def predicted(start_s: Column) -> Column:
     return total
 
 
-def steps(points: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per observed slot with its successor, model and name. Blocks meet their models, names and
-    following block by (series, block); the window over a series sees one row per block."""
-    blocks = written(slot_blocks(points, catalog))
-    heads = blocks.select(*KEY, "block", F.col("slots")[0].alias("head"))
-    after = F.lead("head").over(Window.partitionBy(*KEY).orderBy("block"))
+def modelled(points: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Blocks with their model and name, the last slots of the block before and the first of the one after. The window
+    over a series sees one row of bounded size per block."""
+    blocks = slot_blocks(points, catalog)
+    order = Window.partitionBy(*KEY).orderBy("block")
+    tail = F.slice("slots", F.greatest(F.lit(1), F.size("slots") - END_SLOTS + 1), F.lit(END_SLOTS))
+    ends = blocks.select(*KEY, "interval_s", "block", F.slice("slots", 1, END_SLOTS).alias("head"), tail.alias("tail"))
+    none = F.array().cast(ends.schema["head"].dataType)
     context = (
-        heads.select(*KEY, "block", after.alias("after"))
+        ends.select(
+            *KEY, "interval_s", "block",
+            F.coalesce(F.lag("tail").over(order), none).alias("before"), F.coalesce(F.lead("head").over(order), none).alias("after"),
+        )
         .join(seasonal_models(blocks), KEY, "left")
         .join(series_names(points), KEY)
+    )
+    return blocks.join(context, [*KEY, "interval_s", "block"])
+
+
+def stretches(rows: DataFrame, off_after: int, observed: bool) -> DataFrame:
+    """One row per gap that begins in a block: the slots a and b at its ends, and those next to them on both sides.
+    With ``observed`` each slot that holds a reading is a row too, lying alone between a and b, its value in seen."""
+    far = F.concat("slots", "after")
+    near = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - END_SLOTS + 1), F.lit(END_SLOTS))
+    apart = lambda i: F.try_element_at(far, i + 1)["slot"] - F.element_at("slots", i)["slot"]
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("slots")),
+        lambda i: F.coalesce((apart(i) > 1) & (apart(i) * F.col("interval_s") <= off_after), F.lit(False)),
     )
-    size = F.size("slots")
-    pairs = F.arrays_zip("slots", F.slice("slots", 2, F.greatest(size, F.lit(1))).alias("nexts"))
-    joined = blocks.join(context, [*KEY, "block"]).withColumn("pairs", pairs)
-    flat = joined.select("series_id", "interval_s", *COEFFICIENTS, "after", F.inline("pairs").alias("now", "next"))
-    following = F.coalesce("next", "after")
-    return flat.select("series_id", "interval_s", *COEFFICIENTS, "now", following.alias("next"))
-
 
-def _filled(rows: DataFrame, off_after: int) -> DataFrame:
-    near = (F.col("next.slot") - F.col("now.slot")) * F.col("interval_s") <= off_after
-    gaps = rows.where((F.col("next.slot") - F.col("now.slot") > 1) & near)
-
-    def residual(end: str) -> Column:
-        start = F.col(f"{end}.slot") * F.col("interval_s")
-        return F.when(F.col(f"{end}.ok"), F.col(f"{end}.value") - predicted(start))
-
-    ends = gaps.withColumn("r0", residual("now")).withColumn("r1", residual("next"))
+    def gap(i: Column) -> Column:
+        return F.struct(
+            F.element_at("slots", i)["slot"].alias("a"), F.element_at(far, i + 1)["slot"].alias("b"),
+            near(F.concat("before", F.slice("slots", F.lit(1), i))).alias("left"),
+            F.slice(far, i + 1, F.lit(END_SLOTS)).alias("right"), F.lit(None).cast("double").alias("seen"),
+        )
+
+    found = F.transform(starts, gap)
+    if observed:
+        none = F.slice("slots", 1, 0)
+        alone = lambda s: F.struct(
+            (s["slot"] - 1).alias("a"), (s["slot"] + 1).alias("b"), none.alias("left"), none.alias("right"),
+            s["value"].alias("seen"),
+        )
+        found = F.concat(found, F.transform("slots", alone))
+    return rows.select("series_id", "interval_s", *COEFFICIENTS, F.inline(found))
+
+
+def _filled(rows: DataFrame, off_after: int, observed: bool) -> DataFrame:
+    def residual(side: str) -> Column:
+        """Median of the residuals of the usable slots; none, null."""
+        usable = F.filter(side, lambda s: s["ok"])
+        left = F.array_sort(F.transform(usable, lambda s: s["value"] - predicted(s["slot"] * F.col("interval_s"))))
+        n = F.size(left)
+        at = lambda k: F.try_element_at(left, F.greatest(k, F.lit(1)).cast("int"))
+        return (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2
+
+    ends = stretches(rows, off_after, observed).withColumn("r0", residual("left")).withColumn("r1", residual("right"))
     ends = ends.select(
-        "series_id", "interval_s", *COEFFICIENTS,
-        F.col("now.slot").alias("a"), F.col("next.slot").alias("b"),
+        "series_id", "interval_s", *COEFFICIENTS, "a", "b", "seen",
         F.coalesce("r0", "r1", F.lit(0.0)).alias("r0"), F.coalesce("r1", "r0", F.lit(0.0)).alias("r1"),
     )
     flat = ends.withColumn("slot", F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)))
     share = (F.col("slot") - F.col("a")) / (F.col("b") - F.col("a"))
     start = F.col("slot") * F.col("interval_s")
     value = predicted(start) + F.col("r0") + (F.col("r1") - F.col("r0")) * share
-    return flat.select("series_id", start.alias("slot_ts"), value.alias("value"), F.lit(True).alias("missing"))
+    return flat.select(
+        "series_id", start.alias("slot_ts"), F.coalesce("seen", value).alias("value"), F.col("seen").isNull().alias("missing")
+    )
 
 
 def regular_grid(points: DataFrame, catalog: DataFrame, off_after: int = OFF_AFTER_S) -> DataFrame:
     """(series_id, slot_ts, value, missing) for every slot of every gauge series; missing ones hold the estimate."""
-    rows = steps(points, catalog)
-    seen = rows.select(
-        "series_id", (F.col("now.slot") * F.col("interval_s")).alias("slot_ts"), F.col("now.value").alias("value"),
-        F.lit(False).alias("missing"),
-    )
-    return seen.unionByName(_filled(rows, off_after))
+    return _filled(modelled(points, catalog), off_after, True)
 
 
 def missing_slots(points: DataFrame, catalog: DataFrame, off_after: int = OFF_AFTER_S) -> DataFrame:
     """The estimated rows of the grid alone, (series_id, slot_ts, value); every one carries a finite estimate."""
-    made = _filled(steps(points, catalog), off_after)
+    made = _filled(modelled(points, catalog), off_after, False)
     return made.where(F.col("value").isNotNull() & ~F.isnan("value")).select("series_id", "slot_ts", "value")

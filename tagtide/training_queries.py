@@ -73,6 +73,19 @@ SQL["p2_found"] = """WITH r AS (SELECT DISTINCT series_id, ts, c.interval_s FROM
 QUERIES["p2_grid"] = p2_grid
 
 
+def p2_observed(spark, d):
+    """The slots of the grid that hold a reading: the latest one."""
+    made = regular_grid(table(spark, d, "points"), table(spark, d, "metric_catalog"))
+    return made.where(~F.col("missing")).select("series_id", "slot_ts", "value")
+
+
+QUERIES["p2_observed"] = p2_observed
+SQL["p2_observed"] = """SELECT series_id, slot * interval_s AS slot_ts, value FROM (SELECT series_id, c.interval_s,
+  CAST(floor(ts / CAST(interval_s AS DOUBLE)) AS BIGINT) AS slot, arg_max(value, (ts, seq)) AS value
+  FROM points p JOIN metric_catalog c ON split_part(p.series_id, '{', 1) = c.metric WHERE c.kind = 'gauge'
+  AND series_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)"""
+
+
 # ---- 4: implausible readings
 def p4_found(spark, d):
     return implausible(table(spark, d, "points"), table(spark, d, "metric_catalog")).select("series_id", "ts").distinct()
