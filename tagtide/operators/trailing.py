@@ -7,7 +7,9 @@ sum half as long that ends where the newer half begins. Any window is a chain of
 
 Defined cases: rows with a null series, time or value and NaN values are no readings; copies (same series,
 time, value) count once; negative values add as they are; before the first day a window holds what there is;
-an empty table gives no rows; other columns are ignored. Sums of infinite values follow IEEE arithmetic.
+an empty table gives no rows; other columns are ignored. Sums of infinite values follow IEEE arithmetic. Where stray
+times lie more than LONGEST_GAP days apart, the days between are given as far as a window of the longest length reaches
+back to activity; the rest, in which every window is empty, has no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from tagtide.functions.columns import DAY_S
 from tagtide.operators.readings import KEY, of_kind, series_key, series_names
 
+#: Longest time without readings whose days are all given: a hundred years.
+LONGEST_GAP = 36_525
+
 
 def daily(readings: DataFrame) -> DataFrame:
     """(k1, k2, day_no, day_n, day_sum) from rows of series_id, ts, value."""
@@ -28,22 +33,27 @@ def daily(readings: DataFrame) -> DataFrame:
     )
 
 
-def dense_days(days: DataFrame) -> DataFrame:
-    """Every day between a series' first and last; missing ones hold 0. The gap before a day is filled from the
-    row itself, so no calendar is joined."""
+def dense_days(days: DataFrame, reach: int = 366, longest_gap: int = LONGEST_GAP) -> DataFrame:
+    """Every day between a series' first and last; missing ones hold 0. The gap after a day is filled from the row
+    itself, so no calendar is joined. Of gaps longer than ``longest_gap`` the first ``reach`` days are filled, and
+    another segment begins after them: windows of at most ``reach`` days are empty from there on."""
     order = Window.partitionBy(*KEY).orderBy("day_no")
-    before = F.coalesce(F.lag("day_no").over(order), F.col("day_no") - 1)
-    first = F.min("day_no").over(Window.partitionBy(*KEY))
+    until = F.lead("day_no").over(order) - F.col("day_no")
+    since = F.col("day_no") - F.lag("day_no").over(order)
+    head = F.when(F.coalesce(since > longest_gap, F.lit(True)), F.col("day_no"))
+    filled = F.when(until <= longest_gap, until - 1).when(until.isNotNull(), F.lit(reach).cast("bigint")).otherwise(0)
     return (
-        days.withColumn("before_", before)
-        .withColumn("first_day", first)
-        .withColumn("filled_", F.explode(F.sequence(F.col("before_") + 1, F.col("day_no"))))
+        days.withColumns({"filled_": filled, "head_": head})
+        .withColumn("segment", F.max("head_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("first_day", F.min("day_no").over(Window.partitionBy(*KEY)))
+        .withColumn("after_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("filled_"))))
         .select(
             *KEY,
-            F.col("filled_").alias("day_no"),
+            "segment",
+            (F.col("day_no") + F.col("after_")).alias("day_no"),
             "first_day",
-            F.when(F.col("filled_") == F.col("day_no"), F.col("day_n")).otherwise(0).alias("n1"),
-            F.when(F.col("filled_") == F.col("day_no"), F.col("day_sum")).otherwise(0.0).alias("s1"),
+            F.when(F.col("after_") == 0, F.col("day_n")).otherwise(0).alias("n1"),
+            F.when(F.col("after_") == 0, F.col("day_sum")).otherwise(0.0).alias("s1"),
         )
     )
 
@@ -57,7 +67,7 @@ def trailing(days: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Columns n_<w>, sum_<w> for each window of days ending with the row's day."""
     if not windows or min(windows) < 1:
         raise ValueError("windows must be positive numbers of days")
-    order = Window.partitionBy(*KEY).orderBy("day_no")
+    order = Window.partitionBy(*KEY, "segment").orderBy("day_no")
 
     def back(name: str, shift: int) -> Column:
         if not shift:
@@ -83,7 +93,7 @@ def trailing(days: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
 def activity(points: DataFrame, catalog: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Per delta series and calendar day: readings and totals of the day and of each trailing window, with
     averages per day of the window."""
-    made = trailing(dense_days(daily(of_kind(points, catalog, "delta"))), windows)
+    made = trailing(dense_days(daily(of_kind(points, catalog, "delta")), max(windows)), windows)
     made = made.withColumns({f"avg_{w}": F.col(f"sum_{w}") / w for w in windows})
     names = series_names(points)
     return made.join(names, KEY).select(
@@ -94,8 +104,9 @@ def activity(points: DataFrame, catalog: DataFrame, windows: tuple[int, ...] = (
 
 def activity_marks(points: DataFrame, catalog: DataFrame, surge: float = 2.5) -> DataFrame:
     """Days on which activity fell silent (``quiet``) or rose (``surge``), from the 30th day of a series on.
-    The comparison of averages is made on cross-multiplied totals, exact for whole numbers."""
-    made = trailing(dense_days(daily(of_kind(points, catalog, "delta"))), (7, 30))
+    The comparison of averages is made on cross-multiplied totals, exact for whole numbers. Days more than 30 after any
+    activity have no mark and are never made."""
+    made = trailing(dense_days(daily(of_kind(points, catalog, "delta")), 30, 30), (7, 30))
     quiet = (F.col("n_7") == 0) & (F.col("n_30") > 0)
     high = (F.col("sum_30") > 0) & (F.col("sum_7") * 30 > F.col("sum_30") * (7 * surge))
     mark = F.when(quiet, "quiet").when(high, "surge")

@@ -320,3 +320,68 @@ def test_blocks_are_bounded_by_readings(spark):
     assert 300_040 <= sizes.n < 300_040 + 20 or sizes.n == 300_040 - (300_000 - hot.select("ts", "value").distinct().count())
     got = [r.ts for r in spikes.implausible(p, catalog(spark)).where("series_id = 'free{copies}'").collect()]
     assert got == [around[30][2]]
+
+
+def test_times_far_out_of_any_calendar(spark):
+    far = 9 * 10**18
+    rows = [("d{h=a}", 86400 * d, 1.0) for d in range(40)] + [("d{h=a}", far, 5.0), ("d{h=a}", -far, 7.0), ("d{h=b}", 5, 1.0)]
+    got = {(r.series_id, r.day_no): (r.n_7, r.sum_30) for r in trailing.activity(points(spark, rows), catalog(spark)).collect()}
+    # 31 days after the first reading, 40 days and 30 after them, the last day
+    assert len(got) == 31 + 70 + 1 + 1
+    assert got["d{h=a}", 39] == (7, 30.0) and got["d{h=a}", 69] == (0, 0.0) and got["d{h=a}", far // 86400] == (1, 5.0)
+    marks = {(r.day_no, r.mark) for r in trailing.activity_marks(points(spark, rows), catalog(spark)).collect()}
+    # two readings of the long-lived series lie far from others, so every day of the forty is past its 30th
+    assert {d for d, m in marks if m == "quiet"} >= set(range(46, 69)) and (far // 86400, "surge") in marks
+
+
+def test_marks_need_no_empty_days(spark):
+    """Gaps of more than 30 days are cut for the marks and filled for the report; both tell the same."""
+    rng = random.Random(11)
+    rows = [("d{h=%d}" % rng.randrange(3), (rng.choice([0, 0, 100, 131, 500]) + rng.randrange(35)) * 86400, float(rng.randrange(9))) for _ in range(150)]
+    got = {tuple(r) for r in trailing.activity_marks(points(spark, rows), catalog(spark)).collect()}
+    first = {}
+    for s, t, _ in rows:
+        first[s] = min(first.get(s, 10**9), t // 86400)
+    want = set()
+    for (s, d), (n7, s7, n30, s30) in brute_days(rows).items():
+        if d >= first[s] + 29 and n7 == 0 and n30 > 0:
+            want.add((s, d, "quiet"))
+        elif d >= first[s] + 29 and s30 > 0 and s7 * 30 > s30 * 17.5:
+            want.add((s, d, "surge"))
+    assert got == want and len(want) > 50
+
+
+def test_grid_beats_straight_lines_on_noisy_series(spark):
+    """Readings held out in runs: the ends of a gap are read from several readings, a straight line from one."""
+    rng = random.Random(4)
+    rows, held = [], {}
+    for h in range(6):
+        v = noisy(1600, 20 + h, phi=0.3, sd=1.0)
+        gone = {k for a in range(60, 1500, 90) for k in range(a, a + 24)}
+        for k, x in enumerate(v.tolist()):
+            if k in gone:
+                held["free{%d}" % h, 60 * k] = x
+            else:
+                rows.append(("free{%d}" % h, 60 * k + rng.randrange(60), x))
+    got = {(r.series_id, r.slot_ts): r.value for r in grid.missing_slots(points(spark, rows), catalog(spark)).collect()}
+    assert set(got) == set(held)
+    line = {}
+    for s in {s for s, _, _ in rows}:
+        t, v = zip(*sorted((t // 60 * 60, x) for q, t, x in rows if q == s))
+        line |= {(s, k): float(np.interp(k, t, v)) for q, k in held if q == s}
+    error = lambda made: np.median([abs(made[k] - held[k]) for k in held])
+    assert error(got) < 0.93 * error(line)
+
+
+def test_grid_reads_its_points_once(spark):
+    """The ends, the equations and the join of the blocks share one shuffle."""
+    made = grid.missing_slots(points(spark, [("g{a}", 60 * i, 1.0) for i in range(0, 50, 3)]), catalog(spark))
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.find("Initial Plan")]
+    assert final.count("partial_max_by") == 2 and final.count("ReusedExchange") >= 2  # one aggregation, two outputs
+
+
+def test_gauges_constant_by_nature_are_not_stuck(spark):
+    rows = {"free{set}": [(60 * i, 21.0 if i < 70 else 22.0) for i in range(142)]}
+    assert flagged(spark, rows) == set()
