@@ -13,8 +13,8 @@ of blocks, the normal equations and the join of blocks with their models; nothin
 
 Defined cases: rows with a null series, time or value and NaN are no readings; readings outside the metric's
 limits or infinite stand in the grid as they are but neither shape the fit nor bridge a gap (then the other
-end's residual is used, or none); of readings with one time and no write order that with the greater hash of its
-value is the latest; a gap whose ends lie more than ``off_after`` seconds apart is off time and
+end's residual is used, or none); of readings with one time and no write order that with the greater value
+is the latest; a gap whose ends lie more than ``off_after`` seconds apart is off time and
 gives no rows; a series of one slot gives one row; metrics without an interval give none; an empty table gives
 no rows; other columns are ignored.
 """
@@ -28,7 +28,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtide.functions.columns import ORDER_SPAN, order_key
 from tagtide.operators.readings import KEY, of_kind, series_key, series_names
 
 BLOCK_SLOTS = 512
@@ -56,18 +55,19 @@ def features(start_s: Column) -> dict[str, Column]:
 def slot_blocks(points: DataFrame, catalog: DataFrame) -> DataFrame:
     """(k1, k2, interval_s, block, slots) with slots an ordered array of (slot, value, ok), one per slot that
     holds a reading."""
-    rows = of_kind(points, catalog, "gauge").where((F.col("interval_s") > 0) & (F.col("interval_s") < ORDER_SPAN))
-    within = F.pmod("ts", "interval_s")
+    rows = of_kind(points, catalog, "gauge").where(F.col("interval_s") > 0)
+    slot = F.floor((F.col("ts") - F.pmod("ts", "interval_s")) / F.col("interval_s")).cast("bigint")
     fits = (
         F.coalesce(F.col("value") >= F.col("low_limit"), F.lit(True))
         & F.coalesce(F.col("value") <= F.col("high_limit"), F.lit(True))
         & (F.abs("value") < float("inf"))
     )
-    written = F.xxhash64("value")
-    latest = order_key(within, F.coalesce("seq", written) if "seq" in rows.columns else written)
-    slot = F.floor((F.col("ts") - within) / F.col("interval_s")).cast("bigint")
-    slots = rows.groupBy(*series_key(F.col("series_id")), "interval_s", slot.alias("slot")).agg(
-        F.max_by("value", latest).alias("value"), F.max_by(fits, latest).alias("ok")
+    # an order key of fixed width, as in downsampling, costs more here than the sort it saves: slots hardly combine
+    latest = F.max_by(F.struct("value", fits.alias("ok")), F.struct("ts", *(["seq"] if "seq" in rows.columns else []), "value"))
+    slots = (
+        rows.groupBy(*series_key(F.col("series_id")), "interval_s", slot.alias("slot"))
+        .agg(latest.alias("v"))
+        .select(*KEY, "interval_s", "slot", "v.*")
     )
     return (
         slots.withColumn("block", F.floor(F.col("slot") / BLOCK_SLOTS).cast("bigint"))
@@ -159,7 +159,8 @@ def modelled(points: DataFrame, catalog: DataFrame) -> DataFrame:
 def stretches(rows: DataFrame, off_after: int, observed: bool) -> DataFrame:
     """One row per gap that begins in a block: the slots a and b at its ends, and those next to them on both sides.
     With ``observed`` each slot that holds a reading is a row too, lying alone between a and b, its value in seen."""
-    far = F.concat("slots", "after")
+    rows = rows.withColumn("far", F.concat("slots", "after"))
+    far = F.col("far")
     near = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - END_SLOTS + 1), F.lit(END_SLOTS))
     apart = lambda i: F.try_element_at(far, i + 1)["slot"] - F.element_at("slots", i)["slot"]
     starts = F.filter(
@@ -168,9 +169,10 @@ def stretches(rows: DataFrame, off_after: int, observed: bool) -> DataFrame:
     )
 
     def gap(i: Column) -> Column:
+        first = near(F.concat("before", F.slice("slots", F.lit(1), i)))
+        left = F.when(i >= END_SLOTS, F.slice("slots", i - (END_SLOTS - 1), F.lit(END_SLOTS))).otherwise(first)
         return F.struct(
-            F.element_at("slots", i)["slot"].alias("a"), F.element_at(far, i + 1)["slot"].alias("b"),
-            near(F.concat("before", F.slice("slots", F.lit(1), i))).alias("left"),
+            F.element_at("slots", i)["slot"].alias("a"), F.element_at(far, i + 1)["slot"].alias("b"), left.alias("left"),
             F.slice(far, i + 1, F.lit(END_SLOTS)).alias("right"), F.lit(None).cast("double").alias("seen"),
         )
 
