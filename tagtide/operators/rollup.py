@@ -14,9 +14,10 @@ from tagtide.plans.spec import GRANULARITIES, coarsest_within
 STATE = ["count", "sum", "min", "max", "first_ts", "first_seq", "first_val", "last_ts", "last_seq", "last_val"]
 
 
-def point_states(ts: Column, seq: Column, width: int) -> list[Column]:
-    """Aggregates of the points of one bucket, all with buffers of fixed width."""
-    key = order_key(F.pmod(ts, F.lit(int(width))), seq)
+def point_states(ts: Column, seq: Column) -> list[Column]:
+    """Aggregates of the points of one bucket of a day or less, all with buffers of fixed width. The keys order points
+    within their day, so they stay as they are while buckets are made coarser."""
+    key = order_key(F.pmod(ts, F.lit(DAY_S)), seq)
     return [
         F.count("value").alias("count"),
         F.sum("value").alias("sum"),
@@ -29,62 +30,63 @@ def point_states(ts: Column, seq: Column, width: int) -> list[Column]:
     ]
 
 
-def ends_of_keys(bucket: Column) -> list[Column]:
-    """first and last columns of a bucket from their order keys."""
-    return [
+def keyed(rollup: DataFrame, width: int = DAY_S) -> DataFrame:
+    """Rollup rows with first_key and last_key, their order within buckets of the width."""
+    key = lambda end: order_key(F.pmod(F.col(f"{end}_ts"), F.lit(int(width))), F.col(f"{end}_seq"))
+    return rollup.withColumns({"first_key": key("first"), "last_key": key("last")})
+
+
+def finished(states: DataFrame, granularity: str) -> DataFrame:
+    """Rollup rows from states whose keys order points within their day."""
+    day = bucket_start(F.col("bucket_ts"), DAY_S)
+    ends = [
         made
         for end in ("first", "last")
         for made in (
-            (bucket + order_offset(F.col(f"{end}_key"))).alias(f"{end}_ts"),
+            (day + order_offset(F.col(f"{end}_key"))).alias(f"{end}_ts"),
             order_seq(F.col(f"{end}_key")).alias(f"{end}_seq"),
             F.col(f"{end}_val"),
         )
     ]
+    return states.select(
+        F.lit(granularity).alias("granularity"), F.lit(GRANULARITIES[granularity]).cast("bigint").alias("interval_s"),
+        "metric", "series_id", "bucket_ts", "count", "sum", "min", "max", *ends,
+    )
 
 
-def keyed(rollup: DataFrame, width: int) -> DataFrame:
-    """Rollup rows with first_key and last_key, their order within coarser buckets of the width."""
-    key = lambda end: order_key(F.pmod(F.col(f"{end}_ts"), F.lit(int(width))), F.col(f"{end}_seq"))
-    return rollup.withColumns({"first_key": key("first"), "last_key": key("last")})
+def _states(points: DataFrame, granularity: str) -> DataFrame:
+    bucket = bucket_start(F.col("ts"), GRANULARITIES[granularity])
+    return (
+        points.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
+        .groupBy("metric", "series_id", bucket.alias("bucket_ts"))
+        .agg(*point_states(F.col("ts"), F.col("seq")))
+    )
+
+
+def _coarser(states: DataFrame, granularity: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """States of coarser buckets; widths divide each other, so this is exact. Columns named in ``within`` are constant
+    in a coarse bucket and are kept."""
+    bucket = bucket_start(F.col("bucket_ts"), GRANULARITIES[granularity]).alias("bucket_ts")
+    return states.groupBy("metric", "series_id", *within, bucket).agg(
+        F.sum("count").alias("count"),
+        F.sum("sum").alias("sum"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.min_by("first_val", "first_key").alias("first_val"),
+        F.min("first_key").alias("first_key"),
+        F.max_by("last_val", "last_key").alias("last_val"),
+        F.max("last_key").alias("last_key"),
+    )
 
 
 def rollup_points(points: DataFrame, granularity: str) -> DataFrame:
     """Rollup rows of one granularity straight from points."""
-    width = GRANULARITIES[granularity]
-    return (
-        points.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
-        .groupBy("metric", "series_id", bucket_start(F.col("ts"), width).alias("bucket_ts"))
-        .agg(*point_states(F.col("ts"), F.col("seq"), width))
-        .select(
-            F.lit(granularity).alias("granularity"), F.lit(width).cast("bigint").alias("interval_s"),
-            "metric", "series_id", "bucket_ts", "count", "sum", "min", "max", *ends_of_keys(F.col("bucket_ts")),
-        )
-    )
+    return finished(_states(points, granularity), granularity)
 
 
-def coarsen(rollup: DataFrame, granularity: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """Rollup rows of a coarser granularity from finer ones; widths divide each other, so this is exact. Columns
-    named in ``within`` are constant in a coarse bucket and are kept."""
-    width = GRANULARITIES[granularity]
-    bucket = bucket_start(F.col("bucket_ts"), width).alias("bucket_ts")
-    return (
-        keyed(rollup, width)
-        .groupBy("metric", "series_id", *within, bucket)
-        .agg(
-            F.sum("count").alias("count"),
-            F.sum("sum").alias("sum"),
-            F.min("min").alias("min"),
-            F.max("max").alias("max"),
-            F.min_by("first_val", "first_key").alias("first_val"),
-            F.min("first_key").alias("first_key"),
-            F.max_by("last_val", "last_key").alias("last_val"),
-            F.max("last_key").alias("last_key"),
-        )
-        .select(
-            F.lit(granularity).alias("granularity"), F.lit(width).cast("bigint").alias("interval_s"),
-            "metric", "series_id", *within, "bucket_ts", "count", "sum", "min", "max", *ends_of_keys(F.col("bucket_ts")),
-        )
-    )
+def coarsen(rollup: DataFrame, granularity: str) -> DataFrame:
+    """Rollup rows of a coarser granularity from stored finer ones."""
+    return finished(_coarser(keyed(rollup), granularity), granularity)
 
 
 def build_rollup(points: DataFrame, granularities=tuple(GRANULARITIES)) -> DataFrame:
@@ -94,14 +96,14 @@ def build_rollup(points: DataFrame, granularities=tuple(GRANULARITIES)) -> DataF
     names = [g for g in GRANULARITIES if g in set(granularities)]
     if not names:
         raise ValueError("no granularity asked")
-    level = rollup_points(points, names[0])
+    level = _states(points, names[0])
     if len(names) == 1:
-        return level
+        return finished(level, names[0])
     level = level.withColumn("day_", bucket_start(F.col("bucket_ts"), DAY_S)).repartition("series_id", "day_")
-    out = level.drop("day_")
+    out = finished(level, names[0])
     for name in names[1:]:
-        level = coarsen(level, name, ("day_",))
-        out = out.unionByName(level.drop("day_"))
+        level = _coarser(level, name, ("day_",))
+        out = out.unionByName(finished(level, name))
     return out
 
 
