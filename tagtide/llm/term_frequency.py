@@ -1,14 +1,15 @@
 """How often every term occurs and in how many records, with marks for the too rare and the too common.
 
-A record is a row. Every record emits its terms with a flag on the first occurrence within the record; counts
-are combined by hash within each map task before they are shuffled, so a term held by a third of all rows
-travels as one partial count per task.
+A record is a row. One scan emits the entries of every record, its metric and the pairs of its tags, and from them its
+terms, each once per occurrence and, apart from that, once per record; counts are combined by hash within each map task
+before they are shuffled, so a term held by a third of all rows travels as one partial count per task. The number of
+records is counted in the same aggregation, as a term of its own that every record holds.
 
 Defined cases: null, empty and blank words are no terms; a null or empty tag map and null tag values give none;
 a word repeated in a record counts as several occurrences and one record; ``key=word`` strings that several
 keys of one record produce are one term; keys stay as written, words are folded (spaces at both ends removed,
 lower case); an empty table gives no rows; other columns are ignored. A term that is both too rare and too
-common (tiny tables) is marked rare.
+common (tiny tables) is marked rare. The separator is taken literally, whatever it means in a regular expression.
 """
 
 from __future__ import annotations
@@ -24,48 +25,48 @@ def folded(text: Column) -> Column:
     return F.trim(F.lower(text))
 
 
-def field_terms(records: DataFrame, column: str, field: str) -> DataFrame:
-    """(field, term, n_occurrences, n_records) of a scalar column; each record holds at most one term."""
-    return (
-        records.groupBy(folded(F.col(column)).alias("term"))
-        .agg(F.count(F.lit(1)).alias("n_records"))
-        .where(F.col("term") != "")
-        .select(F.lit(field).alias("field"), "term", F.col("n_records").alias("n_occurrences"), "n_records")
-    )
-
-
 def _counted(words: Column) -> Column:
     """Every word once per occurrence and, apart from that, once per record: (word, occurrences, records)."""
     row = lambda n, r: lambda w: F.named_struct(F.lit("word"), w, F.lit("n"), F.lit(n), F.lit("r"), F.lit(r))
     return F.concat(F.transform(words, row(1, 0)), F.transform(F.array_distinct(words), row(0, 1)))
 
 
-def map_terms(records: DataFrame, column: str, field: str, separator: str = ";") -> DataFrame:
-    """(field, term, n_occurrences, n_records) of a map column: ``key=word`` for each word of each value.
-
-    Keys of a map differ, so a term repeats within a record only among the words of one value, unless a key
-    itself contains ``=``; such records are taken as a whole. No row carries more than its own word, so values of
-    any number of words take memory in proportion."""
-    tags = F.col(column)
-    odd = F.coalesce(F.instr(F.array_join(F.map_keys(tags), " "), "=") > 0, F.lit(False))
-    words = F.split(F.regexp_replace(folded(F.col("held")), f" *{separator} *", separator), separator)
+#: Kinds of terms: the record itself, its metric, words of its tags.
+RECORD, METRIC, TAGS = 0, 1, 2
+
+
+def record_entries(records: DataFrame, metric: str, tags: str) -> DataFrame:
+    """(kind, key, held, odd) per entry of a record. Keys of a map differ, so a term repeats within a record only among
+    the words of one value, unless a key itself contains ``=``: the tags of such a record are one entry, in odd."""
+    none = F.lit(None).cast("string")
+    entry = lambda key, held: F.struct(key.alias("key"), held.alias("value"))
+    odd = F.coalesce(F.instr(F.array_join(F.map_keys(F.col(tags)), " "), "=") > 0, F.lit(False))
+    pairs = F.when(odd, F.array(entry(none, none))).otherwise(F.map_entries(F.col(tags)))
+    # the order of the entries tells their kinds
+    always = F.array(entry(none, F.lit("record")), entry(none, F.col(metric)))
+    every = F.concat(always, F.coalesce(pairs, F.slice(always, 1, 0)))
+    rows = records.select(F.when(odd, F.col(tags)).alias("odd"), F.posexplode(every).alias("place", "entry"))
+    kind = F.least("place", F.lit(TAGS))
+    return rows.select(
+        kind.alias("kind"), F.col("entry.key").alias("key"), F.col("entry.value").alias("held"),
+        F.when(kind == TAGS, F.col("odd")).alias("odd"),
+    ).where(F.col("held").isNotNull() | F.col("odd").isNotNull())
+
+
+def entry_terms(separator: str) -> Column:
+    """(word, n, r) of an entry: the words of a tag's value, or a metric as a whole. No row carries more than its own
+    word, so values of any number of words take memory in proportion."""
+    mark = "\\Q" + separator + "\\E"
+    words = lambda held: F.split(held, mark)
+    clean = lambda e: F.filter(F.transform(words(e["value"]), folded), lambda w: w != "")
+    made = F.transform(F.map_entries("odd"), lambda e: F.transform(clean(e), lambda w: F.concat(e["key"], F.lit("="), w)))
+    known = F.flatten(F.filter(made, lambda t: t.isNotNull()))
     one = F.array(F.named_struct(F.lit("word"), folded(F.col("held")), F.lit("n"), F.lit(1), F.lit("r"), F.lit(1)))
-    plain = (
-        records.where(~odd)
-        .select(F.explode(tags).alias("key", "held"))
-        .select("key", F.inline(F.when(F.instr("held", separator) > 0, _counted(words)).otherwise(one)))
-        .where(F.col("word") != "")
-        .select(F.concat("key", F.lit("="), "word").alias("term"), "n", "r")
-    )
-    clean = lambda e: F.filter(F.transform(F.split(e["value"], separator), folded), lambda w: w != "")
-    terms = F.transform(F.map_entries(tags), lambda e: F.transform(clean(e), lambda w: F.concat(e["key"], F.lit("="), w)))
-    known = F.flatten(F.filter(terms, lambda t: t.isNotNull()))
-    whole = records.where(odd).select(known.alias("terms")).select(F.inline(_counted(F.col("terms"))).alias("term", "n", "r"))
+    several = F.col("key").isNotNull() & (F.instr("held", separator) > 0)
     return (
-        plain.unionByName(whole)
-        .groupBy("term")
-        .agg(F.sum("n").alias("n_occurrences"), F.sum("r").alias("n_records"))
-        .select(F.lit(field).alias("field"), "term", "n_occurrences", "n_records")
+        F.when(F.col("odd").isNotNull(), _counted(known))
+        .when(several, _counted(F.transform(words(F.lower("held")), lambda w: F.trim(w))))
+        .otherwise(one)
     )
 
 
@@ -75,10 +76,21 @@ def term_frequencies(
     tags: str = "tags",
     rare_below: int = RARE_BELOW,
     common_above: float = COMMON_ABOVE,
+    separator: str = ";",
 ) -> DataFrame:
-    """(field, term, n_occurrences, n_records, mark) of every term; mark is rare, common or null. The number of
-    records enters as a scalar subquery of one row."""
-    counts = field_terms(records, metric, "metric").unionByName(map_terms(records, tags, "tags"))
-    total = records.select(F.count(F.lit(1))).scalar()
-    mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_above * total, "common")
-    return counts.withColumn("mark", mark)
+    """(field, term, n_occurrences, n_records, mark) of every term; mark is rare, common or null."""
+    words = record_entries(records, metric, tags).select("kind", "key", F.inline(entry_terms(separator)))
+    term = F.when(F.col("key").isNotNull(), F.concat("key", F.lit("="), "word")).otherwise(F.col("word"))
+    counts = (
+        words.where(F.col("word") != "")
+        .groupBy(F.col("kind").alias("of"), term.alias("term"))
+        .agg(F.sum("n").alias("n_occurrences"), F.sum("r").alias("n_records"), F.max("kind").alias("kind"))
+    )
+    # both the marks and the total read all the counts, so that one aggregation and one shuffle serve both
+    held = F.least("n_records", "n_occurrences")
+    total = counts.select(F.max(F.when(F.col("kind") == RECORD, held))).scalar()
+    mark = F.when(held < rare_below, "rare").when(held > common_above * total, "common")
+    return counts.where(F.col("kind") != RECORD).select(
+        F.when(F.col("kind") == METRIC, "metric").otherwise("tags").alias("field"), "term", "n_occurrences", "n_records",
+        mark.alias("mark"),
+    )

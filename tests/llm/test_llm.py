@@ -412,3 +412,20 @@ def test_unregistered_series_have_percentiles(spark):
     rows = [("g{a}", i, float(i)) for i in range(5)] + [("g{new}", i, float(10 * i)) for i in range(5)]
     made = percentiles.named_percentiles(*tables(spark, rows, [("g{a}", {"zone": "n"})]), (0.5,)).collect()
     assert {(r.scope, r.name, r.n, r.value) for r in made} == {("series", "g{a}", 5, 2.0), ("series", "g{new}", 5, 20.0), ("group", "g|n", 5, 2.0)}
+
+
+def test_separators_are_literal(spark):
+    rows = [("m", {"k": "a|b.c|a", "x=y": "a|b"}), ("m", {"k": "x|x"}), ("m", {"k": "|"})]
+    for mark in ("|", ".", "\\", "$"):
+        held = [(m, {k: v.replace("|", mark) for k, v in t.items()}) for m, t in rows] if mark != "." else rows
+        got = term_frequency.term_frequencies(records(spark, held), separator=mark).where("field = 'tags'").collect()
+        want = Counter(f"{k}={w}" for _, t in held for k, v in t.items() for w in v.split(mark) if w)
+        assert {r.term: r.n_occurrences for r in got} == want, mark
+
+
+def test_terms_read_their_records_once(spark):
+    made = term_frequency.term_frequencies(records(spark, [("m", {"k": "a;b"})] * 9)).where("mark = 'rare'").select("field", "term")
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.find("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("ReusedExchange") >= 1 and final.count("Generate posexplode") <= 1, plan
