@@ -2,13 +2,14 @@
 
 The whole is cut into blocks of equal token size, and blocks are given to sources by Sainte-Lague: the next block
 goes to the highest quotient weight / (2 * blocks + 1). A source's blocks go to its shards by the same rule,
-weighted by the shards' tokens, never above what a shard holds times the repeats allowed. Within a shard documents
+weighted by the shards' tokens, never above what a shard holds times the repeats allowed; they pass down a tree of FAN
+children a node, so no step ever sees more than FAN shards or groups of shards together. Within a shard documents
 are put in a seeded order and used from the start, round after round, until the quota is filled; a document is
 used when its first token lies within the quota. What a small source cannot fill is reported, not given to others,
-so no source exceeds its share for another's lack.
+so no source exceeds its share for another's lack. A source falls short when its blocks exceed what it can fill.
 
 The number of shards follows the tokens, so the ordered work of one task stays bounded whatever share one source
-holds. Only per-shard sums reach the apportionment, one row per source and shard.
+holds. Only sums reach the apportionment: one row per source of the targets, then one per shard in groups of FAN.
 
 Defined cases: documents whose source is null or has no target take no part; null and empty texts have no tokens
 and are never chosen; a source without documents fills nothing; a null share counts as 0 and a null repeat limit
@@ -30,6 +31,9 @@ from tagtide.operators.blocks import written
 
 BLOCK_TOKENS = 256
 SHARD_TOKENS = 1 << 21
+#: Children of a node in the tree of shards. Three levels hold a thousand million shards.
+FAN = 1024
+LEVELS = 3
 #: Stands for all blocks of a source that holds fewer than it was given.
 FULL = -1
 
@@ -82,31 +86,56 @@ def sized(documents: DataFrame, targets: DataFrame, path: str, shard_tokens: int
     return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.coalesce(shards, F.lit(1))))
 
 
-def shard_quotas(sizes: DataFrame, targets: DataFrame, block_tokens: int) -> DataFrame:
-    """(source, shard, quota) in tokens. Sources are apportioned together, one row each; shards within a source."""
-    per = sizes.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held"))
-    totals = per.groupBy("source").agg(F.sum("held").alias("held"))
+def source_blocks(sizes: DataFrame, targets: DataFrame, block_tokens: int, total_tokens: int | None) -> DataFrame:
+    """(source, max_repeats, blocks, lacks): the blocks of each source, all apportioned together, one row per source of
+    the targets. ``lacks`` marks sources whose blocks reach what their documents can fill, to within one block for every
+    source, which is as far as Sainte-Lague may lie off an exact share."""
+    totals = sizes.groupBy("source").agg(F.sum("n_tokens").alias("held"))
     whole = clean_targets(targets).join(totals, "source", "left").withColumn("held", F.coalesce("held", F.lit(0)))
 
     def share(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source")
-        blocks = int(round(rows["held"].sum() / block_tokens))
+        blocks = int(round((rows["held"].sum() if total_tokens is None else total_tokens) / block_tokens))
         can = rows["held"] * rows["max_repeats"] // block_tokens
         free = apportion(rows["target_share"], blocks)
-        return pd.DataFrame({"source": rows["source"], "max_repeats": rows["max_repeats"], "blocks": np.where(free > can, FULL, free)})
+        return pd.DataFrame({
+            "source": rows["source"], "max_repeats": rows["max_repeats"], "blocks": np.where(free > can, FULL, free),
+            "lacks": free + len(rows) > can,
+        })
 
-    given = whole.groupBy().applyInPandas(share, "source string, max_repeats bigint, blocks bigint")
+    return whole.groupBy().applyInPandas(share, "source string, max_repeats bigint, blocks bigint, lacks boolean")
 
-    def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shard")
-        can = rows["held"] * rows["max_repeats"]
-        blocks = int(rows["blocks"].iloc[0])
-        quota = can if blocks == FULL else apportion(rows["held"], blocks, -(-can // block_tokens)) * block_tokens
-        return pd.DataFrame({"source": rows["source"], "shard": rows["shard"], "held": rows["held"],
-                             "max_repeats": rows["max_repeats"], "quota": quota})
 
-    schema = "source string, shard bigint, held bigint, max_repeats bigint, quota bigint"
-    return per.join(given, "source").groupBy("source").applyInPandas(spread, schema)
+def shard_quotas(sizes: DataFrame, given: DataFrame, block_tokens: int) -> DataFrame:
+    """(source, shard, held, max_repeats, quota) in tokens. The blocks of a source go down the tree of its shards, at
+    every node by Sainte-Lague among its children."""
+    per = sizes.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held"))
+    can = F.col("held") * F.col("max_repeats")
+    leaves = per.join(given.select("source", "max_repeats", "blocks"), "source").select(
+        "source", "shard", "held", "max_repeats", F.col("blocks").alias("all_blocks"),
+        F.ceil(can / block_tokens).cast("bigint").alias("most"),
+    )
+
+    def among_children(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        blocks = int(rows["blocks"].iloc[0])
+        made = np.full(len(rows), FULL) if blocks == FULL else apportion(rows["weight"], blocks, rows["most"])
+        return pd.DataFrame({"source": rows["source"], "node": rows["node"], "blocks": made})
+
+    node = lambda level: F.floor(F.col("shard") / FAN**level).cast("bigint")
+    above = given.select("source", F.lit(0).cast("bigint").alias("parent"), "blocks")
+    for level in reversed(range(LEVELS)):
+        parent = node(level + 1) if level < LEVELS - 1 else F.lit(0).cast("bigint")
+        nodes = leaves.groupBy("source", node(level).alias("node"), parent.alias("parent")).agg(
+            F.sum("held").alias("weight"), F.sum("most").alias("most")
+        )
+        made = nodes.join(above, ["source", "parent"]).groupBy("source", "parent")
+        spread = made.applyInPandas(among_children, "source string, node bigint, blocks bigint")
+        above = spread.withColumnRenamed("node", "parent")
+    quota = F.when(F.col("blocks") == FULL, can).otherwise(F.col("blocks") * block_tokens).cast("bigint")
+    return leaves.join(above.withColumnRenamed("parent", "shard"), ["source", "shard"]).select(
+        "source", "shard", "held", "max_repeats", quota.alias("quota")
+    )
 
 
 def chosen(sizes: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
@@ -126,24 +155,31 @@ def chosen(sizes: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
 
 def mixture(
     documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: int = 1,
-    block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS,
+    block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, total_tokens: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The chosen documents with their repeats, and the report per source: tokens held and used, the share reached
-    and whether the source falls short, that is, holds less than its share of the whole even when every document is
-    used as often as allowed."""
+    and whether the source falls short: its blocks of the whole reach what it can fill, and exactly counted its
+    documents, each used as often as allowed, hold less than its share of the whole. The mixture is as large as the
+    whole of the sources, or has ``total_tokens``."""
     sizes = sized(documents, targets, path, shard_tokens)
-    picked = chosen(sizes, shard_quotas(sizes, targets, block_tokens), seed)
+    given = source_blocks(sizes, targets, block_tokens, total_tokens)
+    picked = chosen(sizes, shard_quotas(sizes, given, block_tokens), seed)
+    lacking = (given if total_tokens is None else source_blocks(sizes, targets, block_tokens, None)).select("source", "lacks")
     used = picked.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.sum("repeats").alias("uses")
     )
     held = sizes.groupBy("source").agg(F.sum("n_tokens").alias("held_tokens"), F.count(F.lit(1)).alias("n_docs"))
-    rows = clean_targets(targets).join(held, "source", "left").join(used, "source", "left")
+    rows = clean_targets(targets).join(held, "source", "left").join(used, "source", "left").join(lacking, "source")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("held_tokens", "n_docs", "used_tokens", "uses")}
     every = Window.partitionBy()
     report = (
         rows.withColumns(zero)
         .withColumn("whole_tokens", F.sum("held_tokens").over(every))
         .withColumn("share_reached", F.try_divide(F.col("used_tokens").cast("double"), F.sum("used_tokens").over(every)))
-        .withColumn("short", F.col("held_tokens") * F.col("max_repeats") < F.col("target_share") * F.col("whole_tokens"))
+        .withColumn(
+            "short",
+            F.col("lacks") & (F.col("held_tokens") * F.col("max_repeats") < F.col("target_share") * F.col("whole_tokens")),
+        )
+        .drop("lacks")
     )
     return picked, report

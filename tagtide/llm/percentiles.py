@@ -1,13 +1,15 @@
 """Exact percentiles per group by a full distributed sort.
 
-State is a table of value counts (k1, k2, value, n): one row per group and distinct value. Counts of days, files
-or partitions merge by adding n, so results combine without error. To answer, all counts are range-partitioned and
-sorted by (group, value); each task cuts its rows into runs of one group and counts them; counts per (group,
+State that merges over any parts, by day, file or partition, is the table of distinct readings (k1, k2, ts, value): parts
+may hold copies of the same reading, the union keeps one. State that is smaller, one row per group and distinct value,
+is the table of value counts (k1, k2, value, n); it merges by adding n, without error where no reading lies in two
+parts, as when parts are days of ts. To answer, all counts are range-partitioned and sorted by (group, value); each task cuts its rows into runs of one group and counts them; counts per (group,
 partition) give each partition's offset within the group; target positions fall into single runs, where the order
 statistics are read. Percentile q of n values is the linear interpolation at position (n - 1) * q; the error is 0.
 
 A group may hold any share of the rows: it spans as many sort partitions as its distinct values need, and a value
 repeated any number of times is one row, combined before every shuffle. Nothing is collected or broadcast by hand.
+The sorted runs are written to the shared folder once: offsets and order statistics must come from one and the same sort.
 
 Defined cases: null and NaN values and rows without group key are left out; copies (same series, time, value)
 count once; a group of one value has that value as every percentile; infinite values sort at the ends; a
@@ -34,14 +36,27 @@ RUN_ROWS = 1024
 RUNS = "pid int, k1 bigint, k2 bigint, local_start bigint, total bigint, vals array<double>, ends array<bigint>"
 
 
+def series_readings(points: DataFrame, catalog: DataFrame, kind: str = "gauge") -> DataFrame:
+    """(k1, k2, ts, value), the distinct readings of a kind: state of a part of the points that merges exactly."""
+    return of_kind(points, catalog, kind).select(*series_key(F.col("series_id")), "ts", "value").distinct()
+
+
+def merge_readings(*tables: DataFrame) -> DataFrame:
+    """Readings of all tables together; one that lies in several counts once."""
+    return reduce(DataFrame.unionByName, tables).distinct()
+
+
+def value_counts(readings: DataFrame) -> DataFrame:
+    return readings.groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def series_counts(points: DataFrame, catalog: DataFrame, kind: str = "gauge") -> DataFrame:
     """Value counts per series of the readings of a kind."""
-    rows = of_kind(points, catalog, kind).select(*series_key(F.col("series_id")), "ts", "value").distinct()
-    return rows.groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("n"))
+    return value_counts(series_readings(points, catalog, kind))
 
 
 def merge_counts(*tables: DataFrame) -> DataFrame:
-    """Counts of all tables together."""
+    """Counts of parts that have no reading in common, such as days of ts; for others merge their readings."""
     return reduce(DataFrame.unionByName, tables).groupBy(*KEY, "value").agg(F.sum("n").alias("n"))
 
 

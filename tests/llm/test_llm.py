@@ -429,3 +429,41 @@ def test_terms_read_their_records_once(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.find("Initial Plan")] if "Initial Plan" in plan else plan
     assert plan.count("ReusedExchange") >= 1 and final.count("Generate posexplode") <= 1, plan
+
+
+def test_readings_merge_with_copies_in_several_parts(spark):
+    d = "/root/testdata/sf0.01"
+    p, cat = spark.read.parquet(f"{d}/points.parquet"), spark.read.parquet(f"{d}/metric_catalog.parquet")
+    whole = percentiles.series_readings(p, cat)
+    parts = [percentiles.series_readings(p.where(F.col("seq") % 4 == k), cat) for k in range(4)]
+    counts = percentiles.value_counts(percentiles.merge_readings(*parts))
+    total = counts.agg(F.sum("n")).first()[0]
+    assert total == whole.count() == 49030
+    assert sum(x.count() for x in parts) > total  # copies lie in several parts
+    days = [percentiles.series_counts(p.where(F.pmod(F.floor(F.col("ts") / 86400), F.lit(3)) == k), cat) for k in range(3)]
+    assert percentiles.merge_counts(*days).exceptAll(percentiles.value_counts(whole)).count() == 0
+    assert percentiles.merge_counts(*days).agg(F.sum("n")).first()[0] == total
+
+
+def test_quotas_pass_down_a_tree(spark, monkeypatch):
+    """Groups of four shards: quotas add up to the blocks of the source and follow the sizes of the shards."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rng = random.Random(12)
+    rows = [(i, s, rng.randrange(500, 900), k) for i, (s, k) in enumerate((s, k) for s in "ab" for k in range(60))]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, shard long")
+    given = spark.createDataFrame([("a", 1, 900, False), ("b", 3, mixing.FULL, True)], "source string, max_repeats long, blocks long, lacks boolean")
+    got = mixing.shard_quotas(sizes, given, 16).collect()
+    a, b = ([r for r in got if r.source == s] for s in "ab")
+    assert len(a) == len(b) == 60 and sum(r.quota for r in a) == 900 * 16
+    held = sum(r.held for r in a)
+    assert all(abs(r.quota - 900 * 16 * r.held / held) <= 3 * 16 for r in a)
+    assert all(r.quota == 3 * r.held for r in b)
+
+
+def test_mixture_of_a_given_size(spark):
+    docs = spark.createDataFrame([(i, "word " * 40, "a" if i % 2 else "b", 1, 2, 3) for i in range(2000)], DOCS)
+    targets = spark.createDataFrame([("a", 0.75, 1, 0), ("b", 0.25, 1, 0)], TARGETS)
+    report = {r.source: r for r in mixing.mixture(docs, targets, total_tokens=20_000, block_tokens=64)[1].collect()}
+    assert report["a"].used_tokens == pytest.approx(15_000, rel=0.02) and report["b"].used_tokens == pytest.approx(5_000, rel=0.02)
+    # of the whole, three quarters are more than one half; of 20,000 tokens they are not
+    assert report["a"].short and not report["b"].short
