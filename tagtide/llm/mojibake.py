@@ -18,6 +18,12 @@ the rest of the document. ``whole`` tells whether nothing garbled remains.
 Defined cases: null, empty and blank texts are no cases; a leading U+FEFF alone is none; entities, markup and
 misread letters are left alone; lost characters (U+FFFD) stay as they are and make ``whole`` false; texts of any
 length are read whole; repeated rows give repeated rows; an empty table gives no rows; other columns do not matter.
+
+A restored text is examined again until nothing more is found, so texts garbled any number of times come back. Where
+something strange is left, the text may have been written in an East Asian encoding, whose characters take ASCII bytes
+too and cross the ends of words: its lines are then read again as a whole. ``whole`` is true only where no lost or
+control character is left, nothing can be made less strange, after plain legacy encodings nothing strange is left at
+all, and no other reading explains the garbled words as well.
 """
 
 from __future__ import annotations
@@ -32,10 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEPT_WORDS = 200_000
-LAYERS = 3
 #: Words longer than this that are not explained as a whole are judged in pieces of at most so many characters too.
 LONGEST = 256
-#: The longest character a cut may fall into: four bytes, misread LAYERS times.
+#: The longest character a cut may fall into: four bytes, misread three times.
 LOOK = 36
 #: How much the cost must drop.
 DROP = 1.5
@@ -52,6 +57,8 @@ WRITTEN = (
 )
 #: The same for Japanese; accepted only where kana result.
 WRITTEN_EAST = ("cp932", "euc_jp")
+#: Encodings of several bytes in which whole lines may have been written.
+WRITTEN_WIDE = ("gb18030", "big5", "cp949", "cp932", "euc_jp")
 #: Letters beyond ASCII of the languages that are written in the Latin alphabet.
 ALPHABETS = {
     "fr": "àâæçéèêëîïôœùûüÿñ", "es": "áéíóúüñ", "de": "äöüßé", "pt": "áâãàçéêíóôõúü", "pl": "ąćęłńóśźż", "sv": "åäöéà",
@@ -186,6 +193,8 @@ def cost(word: str) -> float:
         right = i + 1 < n and letter[i + 1]
         if k in "sq" and (left or right):
             total += 0.05
+        if i and word[i - 1] in "ÂÃ" and (c in AFTER or c == "\xa0" and (i < 2 or not letter[i - 2])):
+            total += 2.0  # a sign of two bytes, read byte by byte
         if k == "m":
             total += 0.3 if i and letter[i - 1] else 1.0
         elif k == "x":
@@ -289,11 +298,11 @@ def apply(word: str, step: Step) -> str | None:
 #: Strict UTF-8 is tried first: random bytes hardly ever pass it. Plain legacy encodings accept almost anything.
 TELLING: list[Step] = [(w, "utf-8") for w in SINGLE + DOUBLE] + [(w, "utf-8 inside") for w in SINGLE]
 PLAIN: list[Step] = [(w, r) for r in WRITTEN + WRITTEN_EAST for w in SINGLE if w != r]
+PLAIN_STEPS = frozenset(PLAIN)
 ORDER = {step: i for i, step in enumerate(TELLING + PLAIN)}
 KANA = re.compile("[\u3041-\u30fa]")
 
-
-BEAM = 4
+INSIDE = 4
 
 
 def _steps(word: str, steps: list[Step]) -> dict[str, Step]:
@@ -309,26 +318,32 @@ def _steps(word: str, steps: list[Step]) -> dict[str, Step]:
 
 
 def layered(word: str, start: float) -> tuple[str, Chain, float] | None:
-    """The cheapest text within LAYERS strict UTF-8 round trips, fewest layers first."""
+    """The cheapest text after any number of strict UTF-8 round trips, fewest first. All distinct texts that a round trip
+    of the whole word gives on the way are followed, and of those given by sequences put right inside it the INSIDE
+    cheapest: the others hold fewer of these sequences put right, and every trip searches all of them again. Every trip
+    shortens the text, so there is an end."""
     beam: list[tuple[str, Chain]] = [(word, ())]
     best: tuple[str, Chain, float] | None = None
     seen = {word}
-    for _ in range(LAYERS):
+    while beam:
         made = [
             (cost(text), len(beam_steps), text, (*beam_steps, step))
             for held, beam_steps in beam
             for text, step in _steps(held, TELLING).items()
             if text not in seen
         ]
-        if not made:
-            break
         made.sort(key=lambda m: m[0])
-        if made[0][0] <= start - DROP and (best is None or made[0][0] < best[2]):
+        if made and made[0][0] <= start - DROP and (best is None or made[0][0] < best[2]):
             best = (made[0][2], made[0][3], made[0][0])
             if best[2] < DROP:
                 break
-        beam = [(text, steps) for _, _, text, steps in made[:BEAM]]
-        seen.update(text for text, _ in beam)
+        beam, inside = [], 0
+        for _, _, text, steps in made:
+            partly = steps[-1][1] == "utf-8 inside"
+            if text not in seen and not (partly and inside >= INSIDE):
+                seen.add(text)
+                beam.append((text, steps))
+                inside += partly
     return best
 
 
@@ -350,7 +365,10 @@ def from_han(word: str) -> tuple[str, Chain, float] | None:
 
 
 def _settled(word: str, chain: Chain, left: float) -> bool:
-    """Little of a long word is left to explain, or next to nothing after strict UTF-8."""
+    """Little of a long word is left to explain, or next to nothing after strict UTF-8; or so many bytes passed strict
+    UTF-8 that it was not by chance, however strange the text."""
+    if chain and chain[0][1] == "utf-8" and chain[0][0] in SINGLE and sum(c > "\x7f" for c in word) >= 12:
+        return True
     return left < DROP or bool(chain) and chain[0][1] == "utf-8" and left < len(word) / 50
 
 
@@ -450,17 +468,33 @@ def _through(word: str, steps: Chain) -> str | None:
     return made
 
 
-def _explaining(votes: Counter, words: list[str]) -> Chain:
-    """Of the proposed chains the one that leaves the least cost over all garbled words of a document."""
-    best, least = (), None
-    for steps, _ in sorted(votes.items(), key=lambda v: (-v[1], [ORDER.get(s, len(ORDER)) for s in v[0]]))[:16]:
+def _explaining(votes: Counter, words: list[str]) -> tuple[Chain, bool]:
+    """Of the proposed chains the one that leaves the least cost over all garbled words of a document, and whether
+    another that reads some word differently leaves as little. Of plain readings that hardly differ the one of the more
+    usual encoding is taken. Chains are dropped as soon as they cost more than the best so far."""
+    slack = 0.06 * len(words)
+    costs = {w: cost(w) for w in words}
+    place = lambda steps: [ORDER.get(s, len(ORDER)) for s in steps]
+    near: list[tuple[float, Chain]] = []
+    least = float("inf")
+    for steps, _ in sorted(votes.items(), key=lambda v: (-v[1], place(v[0]))):
         total = 0.0
         for w in words:
             made = _through(w, steps)
-            total += cost(w) if made is None else min(cost(w), cost(made))
-        if least is None or total < least - 1e-9:
-            best, least = steps, total
-    return best
+            total += costs[w] if made is None else min(costs[w], cost(made))
+            if total > least + slack:
+                break
+        else:
+            least = min(least, total)
+            near.append((total, steps))
+    near = [m for m in near if m[0] <= least + slack]
+    if not near:
+        return (), False
+    telling = [m for m in near if m[1][0] not in PLAIN_STEPS and m[0] <= least + 1e-9]
+    best = telling[0][1] if telling else min(near, key=lambda m: place(m[1]))[1]
+    reads = lambda steps: [_through(w, steps) or w for w in words]
+    own = reads(best)
+    return best, any(reads(steps) != own for _, steps in near if steps != best)
 
 
 def _cut(word: str, at: int, chain: Chain) -> int:
@@ -519,8 +553,94 @@ def parts(word: str, whole: tuple, known: Verdicts) -> tuple[list[str], dict[str
     return (made, verdicts) if gain >= DROP else None
 
 
+def strangeness(text: str) -> float:
+    """The garbling cost of the distinct words of a text, lost characters aside."""
+    words = {w for w in WORD.findall(text) if LOST not in w}
+    return sum(c for w in words if (c := cost(w)) >= DROP)
+
+
+@lru_cache(maxsize=None)
+def _to_bytes(name: str) -> dict[int, int]:
+    """Translation of a text to the bytes of a single-byte encoding; what it does not hold becomes unencodable."""
+    table = {ord(c): b for c, b in _tables(name).items()}
+    return table | {c: 0xFFFF for c in range(0x80, 0x100) if c not in table}
+
+
+def read_wide(text: str, strange: float) -> tuple[str, str, bool] | None:
+    """(text, step, unambiguous) where the lines of a text make more sense once their bytes are read in an encoding of
+    several bytes. Lines that cannot be read so, or make less sense then, stay."""
+    lines = text.split("\n")
+    before = [sum(map(cost, set(WORD.findall(line)))) for line in lines]
+    near: list[tuple[float, str, str]] = []
+    for wrong in SINGLE:
+        try:
+            raw = [None if line.isascii() else _encoded(line, wrong) for line in lines]
+        except UnicodeEncodeError:
+            continue
+        for right in WRITTEN_WIDE:
+            made, total = list(lines), 0.0
+            for i, data in enumerate(raw):
+                now = before[i]
+                if data is not None:
+                    try:
+                        other = data.decode(right)
+                    except UnicodeDecodeError:
+                        other = None
+                    if other is not None and "\x00" not in other and (c := sum(map(cost, set(WORD.findall(other))))) <= now:
+                        made[i], now = other, c
+                total += now
+                if total > strange / 4:
+                    break
+            else:
+                near.append((total, "\n".join(made), f"{wrong}:{right}"))
+    if not near:
+        return None
+    least = min(near, key=lambda m: m[0])
+    if least[0] > strange - DROP or least[1] == text:
+        return None
+    return least[1], least[2], not any(m[0] <= least[0] + 0.6 and m[1] != least[1] for m in near)
+
+
+def _encoded(line: str, wrong: str) -> bytes:
+    return line.translate(_to_bytes(wrong)).encode("latin-1")
+
+
 def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool, str | None]:
-    """(garbled, restored text, whole, main step) of one text."""
+    """(garbled, restored text, whole, main steps) of one text."""
+    found, made, whole, step = examined(text, known)
+    if not found:
+        return False, text, True, None
+    seen = {text, made}
+    while True:
+        again, other, sound, further = examined(made, known)
+        if not again or other in seen:
+            break
+        if not _told(further):
+            # what strict UTF-8 gave is not read as another legacy encoding, but neither is it told whole
+            whole = False
+            break
+        seen.add(other)
+        made, whole, step = other, whole and sound, " > ".join(filter(None, (step, further)))
+    left = strangeness(made)
+    plain = step is not None and not _told(step)
+    if plain or step is None:
+        whole = whole and left < DROP
+    if (plain or step is None and left >= DROP) and (wide := read_wide(text, strangeness(text))) is not None:
+        now = strangeness(wide[0])
+        # by chance bytes hardly ever make letters of an alphabet, but Han characters easily
+        if now <= left - DROP or plain and now <= left and not any(kind(c)[1] == EAST for c in set(wide[0]) - set(text)):
+            made, step, whole = wide[0], wide[1], wide[2] and now < DROP
+    whole = whole and not any(kind(c)[0] == "x" for w in WORD.findall(made) for c in w)
+    return True, made, whole, step
+
+
+def _told(step: str | None) -> bool:
+    """Whether a reading begins with strict UTF-8."""
+    return step is not None and step.split(" > ")[0].endswith((":utf-8", ":utf-8 inside"))
+
+
+def examined(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool, str | None]:
+    """The same after one look."""
     if not text or text.isascii():
         return False, text, True, None
     body = text[1:] if text[0] == "﻿" else text
@@ -543,8 +663,8 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
     for w in words:
         for chain in verdicts[w][1]:
             votes[chain] += 1
-    main = _explaining(votes, [w for w in verdicts if verdicts[w][1]])
-    whole = True
+    main, doubtful = _explaining(votes, [w for w in verdicts if verdicts[w][1]])
+    whole = not doubtful
 
     @lru_cache(maxsize=None)
     def other(word: str) -> tuple[str | None, float]:

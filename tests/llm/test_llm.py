@@ -467,3 +467,63 @@ def test_mixture_of_a_given_size(spark):
     assert report["a"].used_tokens == pytest.approx(15_000, rel=0.02) and report["b"].used_tokens == pytest.approx(5_000, rel=0.02)
     # of the whole, three quarters are more than one half; of 20,000 tokens they are not
     assert report["a"].short and not report["b"].short
+
+
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("signs", ["这是一篇很长的中文文章没有空格船已经开走了你知道吗", "日本語の長い文船はもう出たよ誰知らない", "กขคงจฉชซณดตถทนบปผพมยรลวสหอะาเแโ", "ёжзийклмнопрстуфхцчшщъыьэюя"])
+def test_unspaced_texts_of_any_length(signs, wrong):
+    rng = random.Random(13)
+    known = mojibake.Verdicts()
+    for n in (20, 85, 100, 128, 256, 257, 400, 900):
+        text = "".join(rng.choices(signs, k=n))
+        found, made, whole, _ = mojibake.examine(wrongly(text, "utf-8", wrong), known)
+        assert found and made == text, (n, made[:20])
+        assert whole or signs[0] == "ё", n  # Russian letters by chance are strange in themselves
+
+
+def test_any_number_of_layers():
+    known = mojibake.Verdicts()
+    for n in (4, 5, 6):
+        for text in CLEAN[:6]:
+            bad = text
+            for _ in range(n):
+                bad = wrongly(bad, "utf-8", "cp1252")
+            assert mojibake.examine(bad, known)[:3] == (True, text, True), (n, text)
+
+
+def test_lines_written_in_encodings_of_several_bytes():
+    known = mojibake.Verdicts()
+    for right in ("gb18030", "euc_jp"):
+        for text in (CLEAN[0], CLEAN[1].replace("Ørnulf", "Marie"), CLEAN[2], CLEAN[5]):
+            try:
+                bad = wrongly(text, right, "cp1252")
+            except UnicodeEncodeError:
+                continue
+            found, made, whole, step = mojibake.examine(bad, known)
+            assert found and (made == text or not whole), (right, text, made, step)
+            if right == "gb18030":
+                assert made == text, (text, made, step)
+
+
+def test_whole_is_not_told_of_wrong_texts():
+    """Legacy encodings taken for others: what is restored otherwise is not told whole."""
+    known = mojibake.Verdicts()
+    pairs = [("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("cp1251", "cp1252"), ("koi8-r", "cp1251"),
+             ("cp1253", "cp1252"), ("iso8859-2", "cp1252"), ("gb18030", "cp1252"), ("cp932", "cp1252")]
+    told = wrong = 0
+    for right, read in pairs:
+        for text in CLEAN[:8]:
+            try:
+                bad = wrongly(text, right, read)
+            except UnicodeEncodeError:
+                continue
+            found, made, whole, _ = mojibake.examine(bad, known)
+            told += found and whole
+            wrong += found and whole and made != text
+    assert told >= 15 and wrong <= 1
+
+
+def test_a_lone_sign_of_two_bytes():
+    known = mojibake.Verdicts()
+    for text, good in (("20 Â°C", "20 °C"), ("Â© 2022", "© 2022"), ("cafÃ© Â®", "café ®")):
+        assert mojibake.examine(text, known)[:2] == (True, good)
