@@ -4,7 +4,8 @@ A text is cut by the tokenizer's pattern; each piece is merged by a segment tree
 holds the rank of the pair that starts at its position together with the position, so the root is the leftmost
 pair of least rank. A merge changes the pairs of the merged token and its live neighbours: three leaves, each
 updated up to the root, so a piece of n bytes takes O(n log n) steps whatever its content. Pieces repeat, so each
-worker remembers the ids of the pieces it met, up to a bound, then starts afresh.
+worker remembers the ids of the pieces it met in two generations of bounded size: a piece met again moves to the newer.
+The rank file is shipped to the executors with the job where it lies on the driver only.
 
 Defined cases: null and empty texts give an empty list; blank texts are encoded like any other; strings that look
 like special tokens are ordinary text; texts of any length are encoded whole, in slices of bounded memory, which
@@ -15,12 +16,14 @@ table gives no rows; other columns do not matter.
 from __future__ import annotations
 
 import base64
+import os
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,6 +34,8 @@ KEPT_PIECES = 200_000
 KEPT_LENGTH = 48
 SLICE_PIECES = 200_000
 SLICE_CHARS = 500_000
+#: Ids after which the rows gathered so far are handed on.
+FLUSH_IDS = 4_000_000
 
 
 class PairTree:
@@ -60,15 +65,19 @@ class PairTree:
 
 
 class Kept(dict):
-    """Ids of the pieces met so far; full, it starts afresh."""
+    """Ids of the pieces met lately. Full, it becomes the older generation, from which pieces come back when met."""
 
     def __init__(self, merged):
         self.merged = merged
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, text: str) -> list[int]:
-        ids = self.merged(text.encode())
+        ids = self.older.pop(text, None)
+        if ids is None:
+            ids = self.merged(text.encode())
         if len(text) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -139,9 +148,16 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send a rank file that lies on the driver along with the jobs. Executors that have the path read it there."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 def loaded(path: str) -> Bpe:
     if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
+        _LOADED[path] = Bpe(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _LOADED[path]
 
 
@@ -155,15 +171,18 @@ def token_ids(documents: DataFrame, path: str = VOCABULARY, key: str = "doc_id",
     def encode(batches):
         bpe = loaded(path)
         for batch in batches:
-            lists, sizes = [], [0]
-            for value in batch.column(1):
+            lists, sizes, start = [], [0], 0
+            for row, value in enumerate(batch.column(1), 1):
                 made = list(bpe.parts(_text(value)))
                 lists += made
                 sizes.append(sizes[-1] + sum(map(len, made)))
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
+                if sizes[-1] >= FLUSH_IDS or row == batch.num_rows:
+                    flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[start:row], ids], [key, "ids"])
+                    lists, sizes, start = [], [0], row
 
+    shipped(documents.sparkSession, path)
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(key, F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
@@ -180,6 +199,7 @@ def token_counts(documents: DataFrame, keep: list[str], path: str = VOCABULARY,
                 [*batch.columns[:-1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "n_tokens"]
             )
 
+    shipped(documents.sparkSession, path)
     fields = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
     rows = documents.select(*keep, F.col(text).cast("binary").alias("text_"))
     return rows.mapInArrow(count, f"{fields}, n_tokens bigint")

@@ -527,3 +527,15 @@ def test_a_lone_sign_of_two_bytes():
     known = mojibake.Verdicts()
     for text, good in (("20 Â°C", "20 °C"), ("Â© 2022", "© 2022"), ("cafÃ© Â®", "café ®")):
         assert mojibake.examine(text, known)[:2] == (True, good)
+
+
+def test_rows_are_handed_on_in_parts(spark, public, monkeypatch):
+    texts = [None, "", "one two three", "x" * 50, "four five", None, "six"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    made = bpe.token_ids(df)
+    want = [(i, public(t or "")) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.ids) for r in made.collect()) == want
+    kept = bpe.Kept(lambda data: [len(data)])
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    assert [kept[p] for p in ("a", "bb", "a", "ccc", "dddd", "a", "bb", "eeeee", "a")] == [[1], [2], [1], [3], [4], [1], [2], [5], [1]]
+    assert len(kept) <= 3 and len(kept.older) <= 3
