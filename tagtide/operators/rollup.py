@@ -89,6 +89,11 @@ def coarsen(rollup: DataFrame, granularity: str) -> DataFrame:
     return finished(_coarser(keyed(rollup), granularity), granularity)
 
 
+def merged_states(partials: DataFrame, granularity: str) -> DataFrame:
+    """One row per bucket from any number of rows of it, each of other points."""
+    return finished(_coarser(keyed(partials), granularity), granularity)
+
+
 def build_rollup(points: DataFrame, granularities=tuple(GRANULARITIES)) -> DataFrame:
     """All asked granularities in one table, each from the next finer one; write it partitioned by ``granularity``.
     Points are aggregated and shuffled once, for the finest. Its rows are then placed by (series, day), at most one

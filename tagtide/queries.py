@@ -472,18 +472,18 @@ add(
 
 
 def _streamed(spark, d, e=event_points):
-    """Events read as a stream, rolled up with a watermark, upserted as versions, newest read back."""
+    """Events taken up as a stream in several batches, each of which spans the whole time, so that most points of all
+    but the first come days after later ones; the rollup merges them all."""
     from tagtide.operators.blocks import shared_folder
-    from tagtide.streaming.rollups import newest, start_rollup
+    from tagtide.streaming.rollups import ingested_rollup, start_ingest
 
     where = shared_folder(spark)
     static = e(spark, d)
     source = f"{where}/in"
-    static.write.parquet(source)
-    stream = spark.readStream.schema(static.schema).parquet(source)
-    started = start_rollup(stream, "1h", f"{where}/out", f"{where}/state", "60 days")
-    started.awaitTermination()
-    return newest(spark.read.parquet(f"{where}/out"))
+    static.repartition(3, "seq").write.parquet(source)
+    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_ingest(stream, f"{where}/out", f"{where}/state", "1h").awaitTermination()
+    return ingested_rollup(spark, f"{where}/out")
 
 
 # ---- the same queries of events over one series per event type and user

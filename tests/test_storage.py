@@ -120,3 +120,49 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     want = sorted(map(tuple, build_rollup(p, ["6h"]).select(*cols).collect()))
     assert sorted(map(tuple, newest(spark.read.parquet(str(tmp_path / "out"))).select(*cols).collect())) == want
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "done")).select(*cols).collect())) == want
+
+
+def test_late_points_are_taken_up(spark, sf, tmp_path):
+    """Three batches that all span the month; the first day of the second is weeks late."""
+    from tagtide.streaming import rollups
+
+    p = event_points(spark, sf)
+    p.repartition(3, "seq").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    assert rollups.arrived(spark, out).count() == 0
+    rollups.start_ingest(stream, out, str(tmp_path / "cp"), "1h").awaitTermination()
+    told = rollups.arrived(spark, out).collect()
+    n, last = p.count(), p.agg(F.max("ts")).first()[0]
+    assert [(r.metric, r.complete_through, r.n_points) for r in told] == [("events.value", last - 3600, n)] and told[0].n_late > n / 3
+    cols = ["series_id", "bucket_ts", "count", "min", "max", "first_ts", "first_seq", "first_val", "last_ts", "last_seq", "last_val"]
+    want = sorted(map(tuple, build_rollup(p, ["1h"]).select(*cols).collect()))
+    partials = spark.read.parquet(f"{out}/rollup")
+    assert partials.count() > len(want)
+    made = rollups.ingested_rollup(spark, out)
+    assert sorted(map(tuple, made.select(*cols).collect())) == want
+    assert made.agg(F.sum("sum")).first()[0] == pytest.approx(p.agg(F.sum("value")).first()[0])
+    rollups.compact_merged(spark, out, str(tmp_path / "done"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "done")).select(*cols).collect())) == want
+    # points, rollup and the time up to which points arrived serve one stitched query
+    stored = rollups.ingested_points(spark, out)
+    spec = QuerySpec("events.value", {}, 1704071521, last, "last", 7200)
+    out_ = query(stored, spec, series_dimension(stored), made, told[0].complete_through, stored=("1h",))
+    same = query(p, spec)
+    assert sorted(map(tuple, out_.select("series_id", "bucket_ts", "value").collect())) == sorted(map(tuple, same.select("series_id", "bucket_ts", "value").collect()))
+    with pytest.raises(ValueError):
+        rollups.merged(build_rollup(p, ["1h", "1d"]))
+
+
+def test_repair_prunes_days(spark, tmp_path):
+    from tagtide.streaming.rollups import repair
+
+    rows = line({"h": "a"}, 400, 0, 1, step=3600)
+    path = str(tmp_path / "store")
+    write_points(make(spark, rows), path)
+    stored = read_points(spark, path)
+    late = stored.where(F.col("ts") == B + 36_000)
+    early = build_rollup(make(spark, rows[:10] + rows[11:]), ["6h"])
+    got = repair(early, stored, late, "6h")
+    assert got.where(F.col("bucket_ts") == B + 21_600).first()["count"] == 6 and got.count() == early.count()
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
