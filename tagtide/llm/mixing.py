@@ -31,9 +31,9 @@ from tagtide.operators.blocks import written
 
 BLOCK_TOKENS = 256
 SHARD_TOKENS = 1 << 21
-#: Children of a node in the tree of shards. Three levels hold a thousand million shards.
-FAN = 1024
-LEVELS = 3
+#: Children of a node in the tree of shards. Two levels hold 16 million shards, 35 million million tokens.
+FAN = 4096
+LEVELS = 2
 #: Stands for all blocks of a source that holds fewer than it was given.
 FULL = -1
 
