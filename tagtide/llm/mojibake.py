@@ -615,8 +615,8 @@ def examine(text: str | None, known: Verdicts) -> tuple[bool, str | None, bool,
         again, other, sound, further = examined(made, known)
         if not again or other in seen:
             break
-        if not _told(further):
-            # what strict UTF-8 gave is not read as another legacy encoding, but neither is it told whole
+        if not (_told(step) and _told(further)):
+            # only strict UTF-8 is read again, and as nothing else; but what looks garbled still is not told whole
             whole = False
             break
         seen.add(other)
